@@ -4,13 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), q AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS response FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> response THEN response END AS refers_to
+FROM q
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -27,11 +44,13 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 def queries() -> dict:
     return {
+        "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc": OP3_SQL,
         "op4_exact_dedup": OP4_SQL,
     }
