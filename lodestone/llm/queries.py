@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, warc
+from . import exact_dedup, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +42,15 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
+        "op7_url_filter": op7_url_filter,
     }
 
 
