@@ -22,6 +22,8 @@ from . import common
 #: Payloads below this many bytes are stored again rather than revisited.
 MIN_REVISIT = 1000
 RANGE_BYTES = 8 << 20
+#: Tasks that the ranges of a read are dealt over at most.
+MAX_TASKS = 20_000
 MAGIC = b"\x1f\x8b\x08"
 #: Decoded bytes within which a header must end.
 MAX_HEADER = 64 << 10
@@ -253,7 +255,9 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
     ranges = files.where("length > 0").select("path", "length", starts.alias("start")).withColumn("end", F.least(F.col("start") + range_bytes, "length"))
-    return ranges.repartition("path", "start").mapInArrow(_read, RECORDS)
+    # the rows are tiny and what they stand for is not: a stated number of tasks isn't coalesced by their size
+    tasks = files.agg(F.sum(F.ceil(F.col("length") / range_bytes))).first()[0] or 1
+    return ranges.repartition(min(int(tasks), MAX_TASKS), "path", "start").mapInArrow(_read, RECORDS)
 
 
 def resolved(records: DataFrame) -> DataFrame:
