@@ -58,3 +58,16 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: s
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def without(docs: DataFrame, losers: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id isn't in ``losers`` (doc_id), with all their columns; one row for each doc_id.
+
+    A row without doc_id stays. Rows are compared by doc_id only where some doc_id repeats, which a job over that
+    column alone finds out.
+    """
+    kept = docs.join(losers.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    ids = docs.select("doc_id").where("doc_id is not null")
+    if ids.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
