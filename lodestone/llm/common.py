@@ -39,6 +39,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Deal ``df`` out by ``columns`` over as many tasks as a shuffle has, which adaptive execution leaves as they are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def salt_of(col: Column | str, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(salts)).cast("int")
 

@@ -224,8 +224,7 @@ def links(distinct: DataFrame) -> DataFrame:
             paired.select("fp", "rep", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         )
     whole = whole.select("key", "i", "j", "fp", "rep")
-    parts = whole.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = whole.repartition(int(parts), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = common.spread(whole, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(_search, "a long, b long")
 
 
