@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, simhash, url_filter, warc
+from . import byte_bpe, decontaminate, exact_dedup, language, simhash, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(_table(spark, sf_dir, "pages"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
@@ -94,6 +98,7 @@ def queries() -> dict:
         "op4_exact_dedup": op4_exact_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op7_url_filter": op7_url_filter,
+        "op8_language": op8_language,
     }
 
 
