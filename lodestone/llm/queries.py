@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, language, simhash, url_filter, warc
+from . import byte_bpe, decontaminate, exact_dedup, language, sharding, simhash, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,10 @@ FROM dw LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(_table(spark, sf_dir, "pages"))
 
@@ -97,6 +101,7 @@ def queries() -> dict:
         "op3_warc": op3_warc,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_decontaminate": op5_decontaminate,
+        "op6_sharding": op6_sharding,
         "op7_url_filter": op7_url_filter,
         "op8_language": op8_language,
     }
