@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 SPECTRUM = 4
 BUCKETS = 1 << 15
-#: The sample that the classifier is fitted on: so many texts of each language, of so many languages at most.
+#: The sample that the classifier is fitted on: so many texts of each language, fewer if all languages together would
+#: exceed TEXTS, and so many languages at most.
 SAMPLE = 400
+TEXTS = 4096
 LANGUAGES = 128
-#: Landmarks of each language.
-LANDMARKS = 48
+#: Landmarks of all languages together.
+LANDMARKS = 192
 RIDGE = 1e-2
 #: One document in so many is held out.
 FOLDS = 5
@@ -79,11 +81,11 @@ class Model:
         return names, scores
 
 
-def _sampled(docs: DataFrame) -> DataFrame:
+def _sampled(docs: DataFrame, each: int) -> DataFrame:
     """(doc_id, lang) of the documents to fit on: for each language those of the smallest hashes of their doc_id."""
     labelled = docs.where(~held_out(F.col("doc_id"))).where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang")
     ranked = labelled.withColumn("at", F.expr("row_number() over (partition by lang order by xxhash64(doc_id), doc_id)"))
-    return ranked.where(F.col("at") <= SAMPLE).select("doc_id", "lang")
+    return ranked.where(F.col("at") <= each).select("doc_id", "lang")
 
 
 def fit(docs: DataFrame) -> Model:
@@ -96,7 +98,7 @@ def fit(docs: DataFrame) -> Model:
     names = [r["lang"] for r in common.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     if not names:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    sample = _sampled(docs.where(F.col("lang").isin(names))).dropDuplicates(["doc_id"])
+    sample = _sampled(docs.where(F.col("lang").isin(names)), min(SAMPLE, TEXTS // len(names))).dropDuplicates(["doc_id"])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,28 +109,34 @@ def fit(docs: DataFrame) -> Model:
                 bits.append(np.packbits(own).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["doc_id", "lang", "bits"])
 
-    # at most SAMPLE * LANGUAGES identifiers
+    # at most TEXTS identifiers
     chosen = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     rows = chosen.select("doc_id", "lang", "text").mapInArrow(featured, "doc_id long, lang string, bits binary").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    return solved([r["lang"] for r in rows], np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in rows], np.float32))
+    return solved([r["lang"] for r in rows], [r["bits"] for r in rows])
 
 
-def solved(labels: list[str], found: np.ndarray) -> Model:
-    """Kernel ridge regression over Nyström features of presence vectors ``found`` (texts, BUCKETS)."""
+def _unpacked(bits: list[bytes]) -> np.ndarray:
+    """Presence vectors of unit length."""
+    found = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), BUCKETS // 8), axis=1).astype(np.float32)
+    return found / np.sqrt(np.maximum(found.sum(axis=1), 1))[:, None]
+
+
+def solved(labels: list[str], bits: list[bytes]) -> Model:
+    """Kernel ridge regression over Nyström features of packed presence vectors."""
     languages = tuple(sorted(set(labels)))
     place = {x: i for i, x in enumerate(languages)}
-    rows = found / np.sqrt(np.maximum(found.sum(axis=1), 1))[:, None]
     seen: dict[str, int] = {}
     marks = []
     for i, label in enumerate(labels):
         seen[label] = seen.get(label, 0) + 1
-        if seen[label] <= LANDMARKS:
+        if seen[label] <= max(1, LANDMARKS // len(languages)):
             marks.append(i)
-    landmarks = rows[marks].astype(np.float64)
-    values, vectors = np.linalg.eigh(landmarks @ landmarks.T)
-    root = vectors @ np.diag(np.where(values > 1e-9 * values.max(), 1 / np.sqrt(np.maximum(values, 1e-12)), 0)) @ vectors.T
-    features = (rows.astype(np.float64) @ landmarks.T) @ root
+    landmarks = _unpacked([bits[i] for i in marks])
+    values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
+    root = vectors @ np.diag(np.where(values > 1e-6 * values.max(), 1 / np.sqrt(np.maximum(values, 1e-12)), 0)) @ vectors.T
+    kernel = np.concatenate([_unpacked(bits[at : at + 256]) @ landmarks.T for at in range(0, len(bits), 256)])
+    features = kernel.astype(np.float64) @ root
     target = -np.ones((len(labels), len(languages)))
     target[np.arange(len(labels)), [place[x] for x in labels]] = 1
     # languages weigh alike however many texts each has
@@ -138,7 +146,7 @@ def solved(labels: list[str], found: np.ndarray) -> Model:
     mean = np.average(target, axis=0, weights=weight)
     own = features - centre
     ridge = np.linalg.solve(own.T @ (own * weight[:, None]) + RIDGE * len(labels) / 100 * np.eye(own.shape[1]), own.T @ ((target - mean) * weight[:, None]))
-    return Model(languages, (landmarks.T @ (root @ ridge)).astype(np.float32), mean - centre @ ridge)
+    return Model(languages, landmarks.T @ (root @ ridge).astype(np.float32), mean - centre @ ridge)
 
 
 def identified(docs: DataFrame) -> DataFrame:
