@@ -103,8 +103,8 @@ class BKTree:
                 for edge, child in own.items():
                     self.table[node, edge + radius] = child
         values = np.array(self.values, np.uint64)
-        for start in range(0, len(queries), 512):
-            at = np.arange(start, min(start + 512, len(queries)))
+        for start in range(0, len(queries), 128):
+            at = np.arange(start, min(start + 128, len(queries)))
             node = np.zeros(len(at), np.int32)
             while len(at):
                 distance = np.bitwise_count(values[node] ^ queries[at]).astype(np.int64)
