@@ -95,9 +95,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_duplicates`` keeps, one for each doc_id, with all their columns."""
-    kept = exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns.
+
+    Of rows that repeat a doc_id one stays if any is kept; a row without doc_id stays.
+    """
+    ids = exact_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return common.without(docs, ids.where("not kept"))
 
 
 def _unverified(docs: DataFrame, hits: DataFrame) -> DataFrame:
