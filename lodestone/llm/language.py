@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 SPECTRUM = 4
 BUCKETS = 1 << 15
 #: The sample that the classifier is fitted on: so many texts of each language, fewer if all languages together would
@@ -84,8 +86,11 @@ class Model:
 def _sampled(docs: DataFrame, each: int) -> DataFrame:
     """(doc_id, lang) of the documents to fit on: for each language those of the smallest hashes of their doc_id."""
     labelled = docs.where(~held_out(F.col("doc_id"))).where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang")
-    ranked = labelled.withColumn("at", F.expr("row_number() over (partition by lang order by xxhash64(doc_id), doc_id)"))
-    return ranked.where(F.col("at") <= each).select("doc_id", "lang")
+    # first within parts of a language, so that no task gets all rows of a frequent one
+    for keys in ("lang, part", "lang"):
+        ranked = labelled if keys == "lang" else labelled.withColumn("part", common.salt_of("doc_id"))
+        labelled = ranked.withColumn("at", F.expr(f"row_number() over (partition by {keys} order by xxhash64(doc_id), doc_id)")).where(F.col("at") <= each).drop("at")
+    return labelled.select("doc_id", "lang")
 
 
 def fit(docs: DataFrame) -> Model:
@@ -94,8 +99,8 @@ def fit(docs: DataFrame) -> Model:
     The driver gets BUCKETS bits for each sampled text, whatever its length. Of more than LANGUAGES languages the most
     frequent are learned. Without labelled texts the model knows no language.
     """
-    common = docs.where(~held_out(F.col("doc_id"))).where("lang is not null and text is not null").groupBy("lang").count()
-    names = [r["lang"] for r in common.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    counted = docs.where(~held_out(F.col("doc_id"))).where("lang is not null and text is not null").groupBy("lang").count()
+    names = [r["lang"] for r in counted.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     if not names:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     sample = _sampled(docs.where(F.col("lang").isin(names)), min(SAMPLE, TEXTS // len(names))).dropDuplicates(["doc_id"])
