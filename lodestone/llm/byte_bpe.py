@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Lengths of the padded matrices; longer pieces take the heap.
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256, 512)
@@ -257,6 +259,7 @@ def encoded(docs: DataFrame, path: str | None = None, keep_ids: bool = True) ->
                 columns = [part.column(0), *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else []), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
+    common.short_batches(docs.sparkSession)
     result = "doc_id long, " + "ids array<int>, " * keep_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, result)
 

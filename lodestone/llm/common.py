@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Ways a join key is spread over when one of its values may hold a large share of the rows.
 SALTS = 16
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold ``BATCH_ROWS`` rows at most: whole texts are long, and a batch is held several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Deal ``df`` out by ``columns`` over as many tasks as a shuffle has, which adaptive execution leaves as they are."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 WINDOW = 13
 #: A document is contaminated if one in this many of its words is hit.
 SHARE = 20
@@ -139,6 +141,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 pa.array([_spans(t, places) for t, (_, places, _) in zip(texts, found, strict=True)], types.field("spans").type),
             ], schema=types)
 
+    common.short_batches(spark)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, RESULT)
 
 
@@ -171,6 +174,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             clean = [not (len(p) and len(p) * SHARE >= n) for n, p, _ in scanner(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
+    common.short_batches(docs.sparkSession)
     # columns go by place, so that names may clash
     kept = docs.toDF(*names).mapInArrow(keep, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, found, strict=True)))
     return kept.toDF(*docs.columns)

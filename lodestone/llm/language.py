@@ -114,6 +114,7 @@ def fit(docs: DataFrame) -> Model:
                 bits.append(np.packbits(own).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["doc_id", "lang", "bits"])
 
+    common.short_batches(docs.sparkSession)
     # at most TEXTS identifiers
     chosen = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     rows = chosen.select("doc_id", "lang", "text").mapInArrow(featured, "doc_id long, lang string, bits binary").dropDuplicates(["doc_id"]).collect()

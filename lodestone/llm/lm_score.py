@@ -235,6 +235,7 @@ def scores(docs: DataFrame) -> DataFrame:
     training documents every count is zero. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    common.short_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = common.materialise(word_counts(docs), "word-counts")
     words = words_of(counts)

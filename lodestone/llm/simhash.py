@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = np.fromiter((fingerprint(shingle_hashes(x.as_py())) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
+    common.short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 

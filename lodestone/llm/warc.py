@@ -132,6 +132,7 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
         store.move(attempt, name)
         yield pa.RecordBatch.from_pydict({"records": pa.array([count], pa.int64())})
 
+    common.short_batches(records.sparkSession)
     return records.mapInArrow(write, "records long").agg(F.sum("records")).first()[0] or 0
 
 
