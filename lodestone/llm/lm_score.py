@@ -31,7 +31,7 @@ FOLDS = 10
 #: Words that are classes of their own, and classes of other words by their last SUFFIX bytes. One more is the end's.
 WORDS, SUFFIXES, SUFFIX = 400, 111, 3
 CLASSES = 1 + WORDS + SUFFIXES
-#: Words whose counts every task gets.
+#: Words whose counts every task gets, at most.
 FREQUENT = 131_072
 #: Distinct tokens that a task counts before it hands them on.
 HELD = 300_000
@@ -169,7 +169,7 @@ class Words:
 def words_of(counts: DataFrame) -> Words:
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     end = counts.where(F.col("token") == F.lit(END)).first()
-    top = counts.where(F.col("token") != F.lit(END)).orderBy(F.desc("c"), "token").limit(FREQUENT).collect()
+    top = sorted(_frequent(counts.where(F.col("token") != F.lit(END))), key=lambda r: (-r["c"], bytes(r["token"])))
     found = [bytes(r["token"]) for r in top]
     held = np.array([end["c"] if end else 0, *(r["c"] for r in top)], np.int64)
     sums = counts.where(F.col("token") != F.lit(END)).groupBy(_suffix_class().alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
@@ -183,6 +183,21 @@ def words_of(counts: DataFrame) -> Words:
     return Words(places, held, total["n"], total["v"], class_total, class_distinct)
 
 
+def _frequent(counts: DataFrame) -> list:
+    """Rows of the most frequent tokens, at most FREQUENT: those from a count on that a histogram of counts gives.
+
+    A top-k of that size would send as many rows from every task to the driver.
+    """
+    level = F.floor(F.log2("c") * 32).cast("int")  # a couple of thousand levels at most
+    held, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r["level"]
+    return [] if least is None else counts.where(level >= least).collect()
+
+
 def _suffix_class():
     return (F.crc32(F.substring("token", -SUFFIX, SUFFIX)) % SUFFIXES + (1 + WORDS)).cast("int")
 
