@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -33,3 +36,23 @@ def local_session(cores: int | str = 8, name: str = "lodestone", **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table. Parquet keeps its schema, so nothing is inferred from rows."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets one of its own.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    found = f"file:///tmp/checkpoints/lodestone-{os.getpid()}"
+    spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
