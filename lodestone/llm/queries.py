@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, language, lm_score, sharding, simhash, url_filter, warc
+from . import byte_bpe, decontaminate, exact_dedup, language, line_dedup, lm_score, sharding, simhash, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.scores(_table(spark, sf_dir, "documents"))
 
@@ -108,6 +112,7 @@ def queries() -> dict:
         "op6_sharding": op6_sharding,
         "op7_url_filter": op7_url_filter,
         "op8_language": op8_language,
+        "op9_line_dedup": op9_line_dedup,
         "op10_lm_score": op10_lm_score,
     }
 
