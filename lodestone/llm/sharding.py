@@ -26,7 +26,7 @@ COORDINATE, TIE, BIN = 24, 36, 12
 #: A bin with at most this share of a node's weight isn't refined further.
 FINE = 0.0005
 #: Copies in one piece of a group are at most this share of a shard's target.
-PIECE = 1 / 128
+PIECE = 1 / 48
 #: Buckets of doc_ids by which places in a shard are numbered.
 BUCKETS = 1024
 
