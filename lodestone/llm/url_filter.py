@@ -194,11 +194,11 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """
     rows = common.materialise(with_rules(pages.select("page_id", "url"), rules), "urls")
     distinct = rows.where("url is not null").groupBy("url").agg(F.first("rule_verdict").alias("rule_verdict"))
-    # little data but much work: a stated number of parts isn't coalesced by size
-    distinct = common.materialise(common.spread(distinct, "url"), "distinct-urls")
+    distinct = common.materialise(distinct, "distinct-urls")
     labelled = distinct.where("rule_verdict is not null").select("url", (F.col("rule_verdict") == "allow").alias("good"))
-    table, base = weights(gram_counts(labelled))
-    scores = common.materialise(scored(distinct.select("url"), table, base), "url-scores")
+    # little data but much work: a stated number of parts isn't coalesced by size
+    table, base = weights(gram_counts(common.spread(labelled, "url")))
+    scores = common.materialise(scored(common.spread(distinct.select("url"), "url"), table, base), "url-scores")
     cut = threshold(scores.join(labelled, "url").select("score", "good"))
     verdict = F.coalesce(F.col("rule_verdict"), F.when(F.col("score") < cut, "block").otherwise("allow"))
     # both sides are plain scans, so a hot url is split by the adaptive skew join
