@@ -9,6 +9,9 @@ within the radius share. Inside a block a window over the fingerprints in order
 the ``NEIGHBOURS`` before it, which is every pair of a small block without a join. In larger blocks, whatever is still
 in different groups after that is compared in a join that gives only pairs within the radius, so no pair is lost and a
 block of near copies, which the windows have joined already, doesn't give the square of its size.
+
+A first pass compares fingerprints by their first lines, and the lines of a fingerprint with its first. A second one
+compares every pair of lines of near or equal fingerprints that is still in different groups.
 """
 
 from __future__ import annotations
@@ -63,7 +66,7 @@ def _occurrence() -> Column:
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, digest, fp) of every line of at least MIN_WORDS words.
+    """(doc_id, line_no, digest, length, fp) of every line of at least MIN_WORDS words.
 
     Each distinct word of a line counts once: else the frequent words of a language, which all long lines share, would
     outvote the others. Words are counted by bit where the text is read, so no text is shuffled. A row that repeats gives its lines once.
@@ -73,10 +76,10 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
     norm = lines.select("doc_id", "line_no", normalised(F.col("line")).alias("norm"))
     found = F.split("norm", " ")
-    words = norm.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("digest"), F.size(found).alias("size"), F.array_distinct(found).alias("words"))
-    each = words.select("doc_id", "line_no", "digest", "size", F.explode_outer("words").alias("word")).select("doc_id", "line_no", "digest", "size", F.xxhash64("word").alias("hashed"))
-    summed = each.groupBy("doc_id", "line_no", "digest", "size").agg(F.count(F.lit(1)).alias("n"), *_bit_sums("hashed"))
-    return summed.where(F.col("size") >= MIN_WORDS).select("doc_id", "line_no", "digest", _fingerprint(F.col("n")).alias("fp"))
+    words = norm.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("digest"), F.when(F.size(found) >= MIN_WORDS, F.length("norm")).otherwise(0).alias("length"), F.array_distinct(found).alias("words"))
+    each = words.select("doc_id", "line_no", "digest", "length", F.explode_outer("words").alias("word")).select("doc_id", "line_no", "digest", "length", F.xxhash64("word").alias("hashed"))
+    summed = each.groupBy("doc_id", "line_no", "digest", "length").agg(F.count(F.lit(1)).alias("n"), *_bit_sums("hashed"))
+    return summed.where("length > 0").select("doc_id", "line_no", "digest", "length", _fingerprint(F.col("n")).alias("fp"))
 
 
 def _distance(a: str, b: str) -> Column:
@@ -128,13 +131,18 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     lines = found.select("doc_id", F.explode("wanted").alias("line_no"), F.split("text", "\n", -1).alias("lines"))
     texts = common.materialise(lines.select(_occurrence().alias("id"), normalised(F.get("lines", F.col("line_no"))).alias("norm")), "line-texts")
     met = pairs.join(texts.withColumnsRenamed({"id": "a", "norm": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "norm": "y"}), "b")
-    longest, shortest = F.greatest(F.length("x"), F.length("y")), F.least(F.length("x"), F.length("y"))
-    most = F.floor(longest * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int")
+    most, apart = _most_and_apart(F.length("x"), F.length("y"))
     # written before it is filtered: a filter would be pushed below and compute its inputs several times
-    judged = met.select("a", "b", "x", "y", most.alias("most"), (longest - shortest).alias("apart"))
+    judged = met.select("a", "b", "x", "y", most.alias("most"), apart.alias("apart"))
     return common.materialise(_judged(judged).select("a", "b", "near"), "line-verified").where("near").select("a", "b")
 
 
+def _most_and_apart(x: Column, y: Column) -> tuple[Column, Column]:
+    """The largest edit distance of near lines of these lengths, and what the lengths alone make of it."""
+    longest, shortest = F.greatest(x, y), F.least(x, y)
+    return F.floor(longest * F.lit(1 - SIMILARITY) + F.lit(1e-9)).cast("int"), longest - shortest
+
+
 def _judged(pairs: DataFrame) -> DataFrame:
     """Add ``near``: whether the edit distance of x and y is at most ``most``.
 
@@ -167,27 +175,29 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, line_no, digest), and (digest, kept) with the occurrence that stays, for groups of several."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines = common.materialise(fingerprinted(docs), "lines")
-    distinct = common.materialise(
-        lines.groupBy("digest").agg(F.min(_occurrence()).alias("id"), F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "distinct-lines"
-    )
+    found = lines.groupBy("digest").agg(F.min(_occurrence()).alias("id"), F.first("fp").alias("fp"), F.first("length").alias("length"), F.count(F.lit(1)).alias("n"))
+    distinct = common.materialise(found, "distinct-lines")
     prints = common.materialise(distinct.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "line-prints")
     firsts, others, crowded = _neighbours(prints)
     id_of = prints.select("fp", "id")
+    shared = common.materialise(prints.where("n > 1").select("fp", F.col("id").alias("first")), "shared-prints")
 
     def as_lines(pairs: DataFrame) -> DataFrame:
         a, b = id_of.withColumnsRenamed({"fp": "a", "id": "p"}), id_of.withColumnsRenamed({"fp": "b", "id": "q"})
         return pairs.join(a, "a").join(b, "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
 
-    # lines of one fingerprint are compared with its first
-    same = distinct.join(prints.where("n > 1").select("fp", F.col("id").alias("b")), "fp").where("id != b").select(F.col("id").alias("a"), "b")
+    # first the lines of one fingerprint are compared with its first
+    same = _by_size(distinct, shared, "fp", "inner").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     links = _verified(docs, as_lines(firsts).unionByName(same))
     groups = components.connected_components(links)
     # whatever else may link is verified only where the groups are still apart
-    rest = _in_two_groups(as_lines(others), groups)
+    labelled = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").select("fp", "id", "length", F.coalesce("component", "id").alias("part"))
+    labelled = common.materialise(labelled, "line-parts")
+    close = others.unionByName(_with_later_lines(firsts, shared))
     crowded = common.materialise(crowded.distinct(), "crowded-blocks")
     if not crowded.isEmpty():
-        rest = rest.unionByName(as_lines(_apart(prints, groups, crowded))).distinct()
-    rest = common.materialise(rest, "line-pairs")
+        close = close.unionByName(_apart(labelled, crowded)).distinct()
+    rest = common.materialise(_across(labelled, close).unionByName(_within(labelled, shared)).distinct(), "line-pairs")
     if not rest.isEmpty():
         groups = components.connected_components(links.unionByName(_verified(docs, rest)))
     groups = groups.withColumnRenamed("node", "id")
@@ -195,16 +205,37 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lines.select("doc_id", "line_no", "digest"), common.materialise(kept, "kept-lines")
 
 
-def _in_two_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+def _with_later_lines(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """Those pairs (a, b) of fingerprints of which one has several lines, so that its first doesn't settle them."""
+    a, b = (_by_size(pairs, shared.select(F.col("fp").alias(side)), side, "left_semi") for side in ("a", "b"))
+    return a.unionByName(b)
+
+
+def _open(x: str, y: str) -> Column:
+    """Whether lines with these prefixes are in different groups, and their lengths let them be near."""
+    most, apart = _most_and_apart(F.col(f"{x}_length"), F.col(f"{y}_length"))
+    return (F.col(f"{x}_part") != F.col(f"{y}_part")) & (apart <= most)
+
+
+def _across(labelled: DataFrame, close: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines in different groups, one of each of two fingerprints ``close`` (a, b)."""
     for side in ("a", "b"):
-        pairs = pairs.join(groups.withColumnsRenamed({"node": side, "component": f"part_{side}"}), side, "left")
-    return pairs.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+        close = close.join(labelled.select(F.col("fp").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "length", "part")]), side)
+    return close.where(_open("a", "b")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+
+
+def _within(labelled: DataFrame, shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines of one fingerprint in different groups; the first line has been compared with all."""
+    lines = _by_size(labelled, shared, "fp", "inner").where("id != first")
+    mixed = lines.groupBy("fp").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("fp")
+    lines = common.materialise(lines.join(mixed, "fp").select("fp", "id", "length", "part"), "later-lines")
+    a, b = (lines.select("fp", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "length", "part")]) for side in ("a", "b"))
+    return a.join(b, "fp").where((F.col("a_id") < F.col("b_id")) & _open("a", "b")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
-def _apart(prints: DataFrame, groups: DataFrame, crowded: DataFrame) -> DataFrame:
-    """Pairs within the radius that share a larger block and aren't in one group yet."""
-    labelled = prints.join(groups.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("part"))
-    keyed = labelled.select("fp", "part", F.explode(_keys(F.col("fp"))).alias("key"))
+def _apart(labelled: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Pairs of fingerprints within the radius that share a larger block and aren't in one group yet with all lines."""
+    keyed = labelled.select("fp", "part").distinct().select("fp", "part", F.explode(_keys(F.col("fp"))).alias("key"))
     keyed = common.materialise(_by_size(keyed, crowded, "key", "left_semi"), "crowded")
     mixed = keyed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
     keyed = common.materialise(keyed.join(mixed, "key"), "mixed")

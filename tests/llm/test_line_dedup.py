@@ -70,3 +70,21 @@ def test_empty_repeats_and_clashing_names(spark):
     rows = [(3, "five words stand in here", "x"), (3, "five words stand in here", "x"), (1, "Five words stand, in here", "y"), (None, "five words stand in here", "z")]
     out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, digest string"))
     assert sorted((r["doc_id"] or -1, r["text"]) for r in out.collect()) == [(-1, "five words stand in here"), (1, "Five words stand, in here"), (3, ""), (3, "")]
+
+
+def test_later_lines_of_a_fingerprint_meet_each_other_and_near_fingerprints(spark, monkeypatch):
+    first = [f"w{i}" for i in range(60)]
+    later = first[::-1]
+    swapped = later[:7] + [later[8], later[7]] + later[9:]
+    edited = [later[:k] + [later[k] + "x"] + later[k + 1 :] for k in range(40)]
+    texts = [" ".join(words) for words in (first, later, swapped, *edited)]
+    prints = _prints(spark, [(k, x) for k, x in enumerate(texts)])
+    fp = prints[texts[0]]
+    near = [x for x in texts[3:] if 0 < (prints[x] ^ fp).bit_count() <= 3]
+    assert prints[texts[1]] == prints[texts[2]] == fp and near
+    for most, chosen in ((8, near[:1]), (8, near), (2, texts[3:])):
+        monkeypatch.setattr(line_dedup, "NEIGHBOURS", most)
+        rows = list(enumerate(texts[:3] + chosen))
+        got = {r["doc_id"]: r["dropped"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == _brute(rows, prints)
+        assert got[1] == [] and got[2] == [0] and all(got[k] == [0] for k, x in rows[3:] if x in near)
