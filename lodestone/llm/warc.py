@@ -25,8 +25,8 @@ RANGE_BYTES = 8 << 20
 #: Tasks that the ranges of a read are dealt over at most.
 MAX_TASKS = 20_000
 MAGIC = b"\x1f\x8b\x08"
-#: Decoded bytes within which a header must end.
-MAX_HEADER = 64 << 10
+#: Bytes of a header that are decoded at once.
+HEAD_STEP = 64 << 10
 CHUNK = 256 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_OK = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -156,23 +156,26 @@ class _Source:
 def _head(source: _Source) -> bytes | None:
     """The decoded header of the member at the start of ``source``; None if it isn't a WARC member."""
     unpacker = zlib.decompressobj(31)
-    head, fed = b"", 0
-    while True:
-        if fed == len(source.buffer) and not source.more():
-            return None
-        piece = source.buffer[fed:]
-        fed += len(piece)
+    head, fed, piece = bytearray(), 0, b""
+    while not unpacker.eof:
+        if not piece:
+            if fed == len(source.buffer) and not source.more():
+                return None
+            piece = source.buffer[fed:]
+            fed += len(piece)
+        had = len(head)
         try:
-            head += unpacker.decompress(unpacker.unconsumed_tail + piece, MAX_HEADER - len(head))
+            head += unpacker.decompress(piece, HEAD_STEP)
         except zlib.error:
             return None
+        piece = unpacker.unconsumed_tail
+        # what isn't a header shows at once; a header is read on to its end, however long it is
         if not head.startswith(b"WARC/1."[: len(head)]):
             return None
-        end = head.find(b"\r\n\r\n")
+        end = head.find(b"\r\n\r\n", max(0, had - 3))
         if end >= 0:
-            return head[:end]
-        if unpacker.eof or len(head) >= MAX_HEADER:
-            return None
+            return bytes(head[:end])
+    return None
 
 
 def _member_at(source: _Source) -> bytes:
@@ -261,12 +264,17 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     return ranges.repartition(min(int(tasks), MAX_TASKS), "path", "start").mapInArrow(_read, RECORDS)
 
 
-def resolved(records: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to); a revisit gets its response's figures."""
+def resolved(records: DataFrame, written: int | None = None) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to); a revisit gets its response's figures.
+
+    It is an error if ``written`` is given and the number of records differs.
+    """
     rows = common.materialise(
         records.select("page_id", "record_type", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")),
         "warc-records",
     )
+    if written is not None and (read := rows.count()) != written:
+        raise ValueError(f"{written} records were written to the archives and {read} read")
     responses = rows.where("record_type = 'response' and page_id is not null")
     revisits = rows.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
     target = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
@@ -277,7 +285,7 @@ def resolved(records: DataFrame) -> DataFrame:
 def archived(pages: DataFrame) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to archives in the shared folder and give what reading them back yields.
 
-    Handles null, empty and very long html, null urls and ids, and an empty table (no rows). Pages that repeat with one
+    Handles null, empty and very long html, null and very long urls, null ids, and an empty table (no rows). Pages that repeat with one
     page_id and payload are all responses if that id is the largest of its payload.
     """
     spark = pages.sparkSession
@@ -285,4 +293,4 @@ def archived(pages: DataFrame) -> DataFrame:
     written = write_archives(planned(pages.select("page_id", "url", "html")), path)
     if not written:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return resolved(read_archives(spark, path))
+    return resolved(read_archives(spark, path), written)

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import pyarrow as pa
+import pytest
 
 from lodestone.llm import common, warc
 
@@ -48,3 +49,23 @@ def test_false_magic_is_passed_over(tmp_path):
         for step in (1, 5, len(data)):
             found = [f["warc-record-id"] for at in range(0, len(data), step) for f, _ in warc.records_in(file, len(data), at, at + step)]
             assert found == ["<urn:page:4>", "<urn:page:4>"]
+
+
+def test_headers_of_any_length(spark):
+    rng = random.Random(4)
+    urls = ["http://x/" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789é", k=200_000)), "\\" * 11_000, "http://x/" + "a" * 600_000]
+    rows = [(3 * k + i, u if i == 2 else f"http://copy/{k}/{i}", f"<p>{k}</p>" * 300) for k, u in enumerate(urls) for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.archived(pages).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == _want(rows)
+    path = common.scratch(spark, "warc-test")
+    assert warc.write_archives(warc.planned(pages).coalesce(1), path) == len(rows)
+    for size in (9973, 1 << 30):
+        assert sorted((r["page_id"], r["url"]) for r in warc.read_archives(spark, path, size).collect()) == [r[:2] for r in rows]
+
+
+def test_a_record_that_is_not_read_is_an_error(spark):
+    records = spark.createDataFrame([(1, "u", "response", None, bytearray(b"x"))], warc.RECORDS)
+    assert warc.resolved(records, 1).count() == 1
+    with pytest.raises(ValueError):
+        warc.resolved(records, 2)
