@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ways a join key is spread over when one of its values may hold a large share of the rows.
-SALTS = 16
-BATCH_ROWS = 1000
-
+from lodestone.session import scratch, shared_dir  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    It is read from ``spark.checkpoint.dir``. Only a local session without that setting gets one of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    found = f"file:///tmp/checkpoints/lodestone-{os.getpid()}"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for one written table in the shared folder."""
-    return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+#: A key with over one in this many rows of a join is dealt out over several tasks; so at most as many keys are.
+HOT_SHARE = 200
+#: Bytes of one Arrow batch at most: whole texts are long, and a batch is held several times.
+BATCH_BYTES = 8 << 20
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -41,10 +21,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold ``BATCH_ROWS`` rows at most: whole texts are long, and a batch is held several times."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Let Arrow batches hold ``BATCH_BYTES`` at most, or one row if that is longer.
+
+    The setting is read when a plan runs, which may be after the operator has returned, so it is left in the session.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name)
+    number = int(held.rstrip("bB")) if held.rstrip("bB").lstrip("-").isdigit() else -1
+    if not 0 < number <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
@@ -52,20 +37,28 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
 
 
-def salt_of(col: Column | str, salts: int = SALTS) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(salts)).cast("int")
-
-
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "left", salts: int = SALTS) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "left", count: str = "n", total: int | None = None) -> DataFrame:
     """Equi-join whose ``key`` may be hot on the left and is unique on the right.
 
-    A left row goes to one of ``salts`` parts of its key by the hash of ``spread``; each right row is copied to every
-    part, so the rows of one key are met by ``salts`` tasks. The right side must be narrow.
+    ``right`` is a written table whose column ``count`` tells how many rows of the left have the key; it goes unless
+    ``total`` is given, which says how many rows there are. Keys over a HOT_SHARE of all rows are dealt into parts by the
+    hash of ``spread``, as many as the key's share asks for, and the right row is copied to each. At most HOT_SHARE keys
+    are hot, so their table is broadcast.
     """
-    salt = "__salt"
-    left = left.withColumn(salt, salt_of(spread, salts))
-    right = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, salt], how).drop(salt)
+    if total is None:
+        total = right.agg(F.sum(count)).first()[0] or 0
+    step = max(1, total // HOT_SHARE)
+    parts = F.ceil(F.col(count) / step).cast("int")
+    hot = right.where(F.col(count) > step).select(key, parts.alias("__parts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("__parts")), F.lit(0)).cast("int")
+    left = left.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__parts")
+    copies = F.when(F.col(count) > step, parts).otherwise(1)
+    right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(count)
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
+def salt_of(col: Column | str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(col), F.lit(salts)).cast("int")
 
 
 def ascii_lower(col: Column) -> Column:
@@ -73,14 +66,22 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def without(docs: DataFrame, losers: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id isn't in ``losers`` (doc_id), with all their columns; one row for each doc_id.
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether several rows of ``docs`` have one doc_id."""
+    return not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def staying(docs: DataFrame, marks: DataFrame, key: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``marks`` (doc_id, kept, and key if one is given) lets stay, with all their columns.
 
-    A row without doc_id stays. Rows are compared by doc_id only where some doc_id repeats, which a job over that
-    column alone finds out.
+    ``marks`` is a written table with a row for each row of ``docs``, and ``key`` gives its key from a row of ``docs``.
+    Of rows that agree in doc_id and key one stays at most. A row without doc_id stays.
     """
-    kept = docs.join(losers.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    ids = docs.select("doc_id").where("doc_id is not null")
-    if ids.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # columns go by place, so that names may clash
+    own = ["id"] if key is None else ["id", "key"]
+    marks = marks.where("doc_id is not null").withColumnRenamed("doc_id", "id")
+    rows = docs.withColumn("__key", F.lit(0) if key is None else key).toDF(*names, "key").withColumn("id", F.col(names[docs.columns.index("doc_id")]))
+    rows = rows.join(marks.where("not kept").select(own), own, "left_anti")
+    if not marks.where("kept").groupBy(own).count().where("count > 1").isEmpty():
+        rows = rows.where("id is null").unionByName(rows.where("id is not null").dropDuplicates(own))
+    return rows.select(names).toDF(*docs.columns)

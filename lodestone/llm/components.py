@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     In each round a node hands its larger neighbours, then its smaller ones, to the smallest that it knows, which needs
     a logarithmic number of rounds. Neighbourhoods are never gathered: each round is two minima by key, aggregated
-    before they are shuffled, joined back with the hot keys salted. Self-loops and repeated edges change nothing.
+    before they are shuffled, joined back with hot keys dealt into parts. Self-loops and repeated edges change nothing.
     """
     pairs = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = common.materialise(pairs, "edges")
@@ -33,14 +33,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
 
 
+def _least(pairs: DataFrame, own: str) -> DataFrame:
+    """(u, m, n): the smallest neighbour of each node that is smaller than itself, if any, and its number of rows in ``own``."""
+    found = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.expr(own)).alias("n"))
+    return common.materialise(found.where("n > 0"), "stars")
+
+
 def _large_star(pairs: DataFrame) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = _least(both, "v > u").select("u", F.least("u", "m").alias("m"), "n")
     larger = both.where("v > u")
     return common.salted_join(larger, least, "u", "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    pairs = common.materialise(pairs, "edges")
+    least = _least(pairs, "true")
     moved = common.salted_join(pairs, least, "u", "v", "inner").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -1,13 +1,16 @@
 """Exact deduplication over a log-structured merge index of text digests.
 
-The index is a folder of Parquet runs. Each task of a flush is a memtable: it sorts its digests and writes them as one
-run file whose digest column carries a Bloom filter, so a point lookup skips files that cannot hold the digest.
-Compaction merges all runs into one entry per digest with the smallest identifier and the number of rows. Texts are
-looked up by digest, and each hit is verified byte by byte against the text that stays.
+Rows enter the index in batches. A batch is a memtable: its digests are reduced to one entry each (smallest identifier,
+number of rows), sorted, and written as a run next to a filter, which is a bitmap over hashes of the run's digests.
+Compaction merges the runs: an entry that the filters of all other runs rule out goes on as it is, and only the others
+are grouped again by digest. Rows are looked up by digest, and each hit is verified byte by byte against the text that
+stays.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,73 +20,95 @@ from . import common
 SPACES = r"[\x20\x09-\x0D]+"
 #: Members of one group of copies that are verified by one part of the join.
 PART = 256
+#: Batches that a call flushes; rows are dealt to them by identifier.
+RUNS = 4
+#: Bits of a filter for each digest, and the bits of one bitmap row.
+FILTER_BITS, BITMAP = 16, 32768
 
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
+def _smallest(rows: DataFrame, least: Column, size: Column) -> DataFrame:
+    return rows.groupBy("digest").agg(F.min(least).alias("keep_id"), F.sum(size).cast("long").alias("group_size"))
+
+
 class MergeIndex:
     """Digest index at ``path``; ``flush`` adds runs, ``compact`` merges them, ``entries`` reads the newest level."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.runs: list[str] = []
-        self.level: str | None = None
-
-    def flush(self, batch: DataFrame) -> DataFrame:
-        """Write the runs of a batch (doc_id, digest) and return them as read back."""
-        run = f"{self.path}/run-{len(self.runs)}"
-        self._write(batch.select("doc_id", "digest"), run)
+        self.runs: list[DataFrame] = []
+        self.filters: list[tuple[DataFrame, int]] = []
+        self.level: DataFrame | None = None
+
+    def flush(self, batch: DataFrame) -> None:
+        """Write the run of a batch (doc_id, digest) with its filter."""
+        run = self._written(_smallest(batch, F.col("doc_id"), F.lit(1)), f"run-{len(self.runs)}")
+        rows = -(-max(1, run.count()) * FILTER_BITS // BITMAP)
+        place = F.pmod(F.xxhash64("digest"), F.lit(rows * BITMAP))
+        bits = run.select(F.floor(place / BITMAP).alias("bucket"), (place % BITMAP).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
         self.runs.append(run)
-        return self.spark.read.parquet(run)
+        self.filters.append((self._saved(bits, f"filter-{len(self.filters)}"), rows))
+        self.level = None
+
+    def maybe_in(self, rows: DataFrame, number: int, out: str) -> DataFrame:
+        """Add the flag ``out``: false if the filter of run ``number`` rules the row's digest out."""
+        bits, size = self.filters[number]
+        place = F.pmod(F.xxhash64("digest"), F.lit(size * BITMAP))
+        byte = F.conv(F.hex(F.substring("bits", (place % BITMAP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        met = rows.withColumn("bucket", F.floor(place / BITMAP)).join(bits, "bucket", "left")
+        return met.withColumn(out, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("bucket", "bits")
 
     def compact(self) -> DataFrame:
         """Merge every run: (digest, keep_id, group_size), sorted by digest within each file."""
         if not self.runs:
             raise ValueError("flush a batch before compacting")
-        merged = (
-            self.spark.read.parquet(*self.runs)
-            .groupBy("digest")
-            .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        )
-        self.level = f"{self.path}/level-{len(self.runs)}"
-        self._write(merged, self.level)
-        return self.entries()
+        parts = []
+        for number, run in enumerate(self.runs):
+            others = [k for k in range(len(self.runs)) if k != number]
+            for k in others:
+                run = self.maybe_in(run, k, f"in_{k}")
+            shared = reduce(lambda a, b: a | b, [F.col(f"in_{k}") for k in others], F.lit(False))
+            parts.append(run.select("digest", "keep_id", "group_size", shared.alias("shared")))
+        entries = self._saved(reduce(DataFrame.unionByName, parts), f"asked-{len(self.runs)}")
+        merged = _smallest(entries.where("shared"), F.col("keep_id"), F.col("group_size"))
+        self.level = self._written(entries.where("not shared").drop("shared").unionByName(merged), f"level-{len(self.runs)}")
+        return self.level
 
     def entries(self) -> DataFrame:
-        if self.level is None:
-            return self.compact()
-        return self.spark.read.parquet(self.level)
+        return self.compact() if self.level is None else self.level
 
-    @staticmethod
-    def _write(df: DataFrame, path: str) -> None:
-        (
-            df.sortWithinPartitions("digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .parquet(path)
-        )
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        return self._saved(df.sortWithinPartitions("digest"), name)
+
+    def _saved(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """Return (doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs`` (doc_id, text).
 
-    Texts are equal when identical after each run of white space becomes one space; null counts as empty. The smallest
-    doc_id of a group stays, and a row that repeats with the same doc_id is marked like its twin. A row without doc_id
-    never stands for a group; it is dropped if its text has a row that stays, else kept. An empty table gives no rows.
-    Other columns of ``docs`` are ignored, whatever their names.
+    Texts are equal when identical after each run of white space becomes one space; null counts as empty, and texts of
+    any length are whole. The smallest doc_id of a group stays. A doc_id may repeat: a row with an equal text is marked
+    like its twin, one with another text belongs to that text's group. A row without doc_id never stands for a group; it
+    is dropped if its text has a row that stays, else kept. An empty table gives no rows. Other columns of ``docs`` are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     index = MergeIndex(spark, common.scratch(spark, "merge-index"))
-    rows = index.flush(docs.select("doc_id", F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest")))
-    copies = index.compact().where("group_size > 1")
+    rows = common.materialise(docs.select("doc_id", _digest().alias("digest")), "digests")
+    for number in range(RUNS):
+        index.flush(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)) == number))
+    copies = common.materialise(index.compact().where("group_size > 1"), "copies")
 
-    found = common.salted_join(rows, copies, "digest", "doc_id")
-    wrong = _unverified(docs, found.where("keep_id is not null"))
+    found = common.salted_join(rows, copies.withColumn("n", F.col("group_size")), "digest", "doc_id")
+    wrong = common.materialise(_unverified(docs, copies), "unverified")
     if not wrong.isEmpty():
-        found = _regrouped(found, wrong)
+        found = _regrouped(docs, found, wrong)
     keep_id = F.coalesce("keep_id", "doc_id")
     return found.select(
         "doc_id",
@@ -94,53 +119,41 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns.
-
-    Of rows that repeat a doc_id one stays if any is kept; a row without doc_id stays.
-    """
-    ids = exact_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return common.without(docs, ids.where("not kept"))
+def _digest() -> Column:
+    return F.unhex(F.sha2(normalised(F.col("text")), 256))
 
 
-def _unverified(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """Hits (doc_id, keep_id, group_size) whose normalised text differs from that of the row that stays.
+def _unverified(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(digest) of the groups in ``copies`` (digest, keep_id, group_size) with a text unlike that of the row that stays.
 
-    Only texts of hits are read again. A member meets its group's text in the part that its doc_id selects, and the
-    number of parts follows the size of the group, so a group of any size is verified by many tasks.
+    Every hit is compared with the text of its group by the bytes. A member meets that text in the part that its doc_id
+    selects, and the number of parts follows the size of the group, so a group of any size is verified by many tasks.
     """
     parts = F.ceil(F.col("group_size") / PART).cast("int")
-    members = common.materialise(
-        docs.join(hits.select("doc_id", "keep_id", "group_size").distinct(), "doc_id").select(
-            "doc_id", "keep_id", parts.alias("parts"), normalised(F.col("text")).alias("norm")
-        ),
-        "hits",
-    )
-    stays = members.where("doc_id = keep_id").select(
-        "keep_id", F.col("norm").alias("kept_norm"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    )
-    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    return (
-        members.where("doc_id != keep_id")
-        .withColumn("part", own)
-        .join(stays, ["keep_id", "part"])
-        .where("norm != kept_norm")
-        .select("doc_id", "norm")
-    )
+    texts = docs.select("doc_id", _digest().alias("digest"), normalised(F.col("text")).alias("norm"))
+    sized = copies.select("digest", "keep_id", parts.alias("parts"), F.col("group_size").alias("n"))
+    members = common.materialise(common.salted_join(texts, sized, "digest", "doc_id", "inner"), "hits")
+    # rows that repeat the doc_id that stays are members like any other
+    stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"), F.first("parts").alias("parts"))
+    stays = stays.select("digest", "kept_norm", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = F.pmod(F.xxhash64("doc_id", "norm"), F.col("parts")).cast("int")
+    return members.withColumn("part", own).join(stays, ["digest", "part"]).where("norm != kept_norm").select("digest").distinct()
 
 
-def _regrouped(found: DataFrame, wrong: DataFrame) -> DataFrame:
-    """Regroup rows that share a digest but not a text, which only a digest collision makes, by their whole text."""
-    own = wrong.groupBy("norm").agg(F.min("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"))
-    moved = wrong.join(own, "norm").select("doc_id", "own_keep", "own_size")
-    gone = wrong.join(found.select("doc_id", "keep_id"), "doc_id").groupBy("keep_id").agg(F.count(F.lit(1)).alias("gone"))
-    return (
-        found.join(moved, "doc_id", "left")
-        .join(gone, "keep_id", "left")
-        .select(
-            "doc_id",
-            "digest",
-            F.coalesce("own_keep", "keep_id").alias("keep_id"),
-            F.coalesce("own_size", F.col("group_size") - F.coalesce("gone", F.lit(0))).alias("group_size"),
-        )
-    )
+def _regrouped(docs: DataFrame, found: DataFrame, wrong: DataFrame) -> DataFrame:
+    """Regroup the rows of the digests in ``wrong``, which several texts share, by their whole text."""
+    texts = docs.select("doc_id", _digest().alias("digest"), normalised(F.col("text")).alias("norm")).join(wrong, "digest")
+    texts = common.materialise(texts, "collisions")
+    own = texts.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    again = texts.join(own, ["digest", "norm"]).select("doc_id", "digest", "keep_id", "group_size")
+    return found.join(wrong, "digest", "left_anti").select(again.columns).unionByName(again)
+
+
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) that ``exact_duplicates`` keeps, with all their columns.
+
+    Of rows that repeat a doc_id with equal texts one stays if they are kept; those with other texts are judged by their
+    own. A row without doc_id stays. Null and empty texts are one text; an empty table stays empty.
+    """
+    marks = exact_duplicates(docs).select("doc_id", "kept", F.unhex("text_sha256").alias("key"))
+    return common.staying(docs, common.materialise(marks, "exact-marks"), _digest())

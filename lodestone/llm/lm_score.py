@@ -1,14 +1,18 @@
-"""Language-model scores of whole texts: a log-bilinear class model trained with noise-contrastive estimation.
+"""Language-model scores of whole texts: a log-bilinear model over words, trained with noise-contrastive estimation.
 
-Tokens are the words of a text and one end. The most frequent words are classes of their own, as is the end; all other
-words belong to classes by their last bytes, which carry much of a language's inflection. The log-bilinear model
-predicts the class from the token before, and a word within its class has its smoothed relative frequency, so that
+Tokens are the words of a text and one end. The most frequent words are units of their own, as is the end; all other
+words share a unit with those of the same last bytes. The log-bilinear model predicts a unit from the units of the
+``CONTEXT`` tokens before it: with context vectors R, position matrices C, target vectors Q and biases b,
 
-    P(word | before) = softmax(R[before] C Q' + b)[class] * (c + 0.1) / (N_class + 0.1 (V_class + 1))
+    h = sum over j of R[u_j] C_j,    P(u | h) = softmax(h A' + a)[group of u] * softmax(h Q' + b)[u among its group],
 
-sums to one over all words. The model is trained in numpy on the class pairs of the whole training corpus, counted
-exactly; their number is bounded by the square of the number of classes. Word counts are unbounded: frequent words are
-sent to the tasks as a table of fixed size, and the rest meets its counts in a join.
+where units are put into groups by frequency, so that one token costs two small softmaxes and not one over all units. A
+word of a shared unit has its smoothed relative frequency there, so all words' probabilities sum to one.
+
+Training goes over all training tokens. A task gets a model, follows the gradients of noise-contrastive estimation over
+its part of the documents, and returns its parameters; those of all tasks are averaged, weighted by their tokens, and
+the next round begins with the average. What the driver holds is the model, whose size doesn't follow the corpus. Word
+counts are unbounded: frequent words are sent to the tasks as a table of fixed size, the rest meets its counts in a join.
 """
 
 from __future__ import annotations
@@ -28,16 +32,22 @@ from . import common
 from .language import held_out
 
 FOLDS = 10
-#: Words that are classes of their own, and classes of other words by their last SUFFIX bytes. One more is the end's.
-WORDS, SUFFIXES, SUFFIX = 400, 111, 3
-CLASSES = 1 + WORDS + SUFFIXES
+#: Words that are units of their own, and units of other words by their last SUFFIX bytes. Unit 0 is the end's.
+WORDS, SUFFIXES, SUFFIX = 8191, 512, 3
+UNITS = 1 + WORDS + SUFFIXES
+#: Units of one group; groups follow each other by falling frequency.
+GROUP = 96
 #: Words whose counts every task gets, at most.
 FREQUENT = 131_072
 #: Distinct tokens that a task counts before it hands them on.
 HELD = 300_000
 SMOOTH = 0.1
-#: Model and training.
-DIMENSION, STEPS, BATCH, NOISE, RATE = 32, 800, 2048, 64, 0.15
+#: Model and training: tokens of context, vector length, tokens of a gradient step, noise units, learning rate.
+CONTEXT, DIMENSION, BATCH, NOISE, RATE = 3, 24, 8192, 16, 0.1
+#: Rounds of training, each over its own part of the documents; fewer tokens than LEAST_TOKENS are seen several times.
+ROUNDS, LEAST_TOKENS, MOST_PASSES = 4, 2_000_000, 12
+#: Rows of parameters that are averaged together.
+BLOCK = 256
 END = b""
 
 
@@ -48,68 +58,153 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
-def suffix_class(word: bytes) -> int:
+def suffix_unit(word: bytes) -> int:
     return 1 + WORDS + zlib.crc32(word[-SUFFIX:]) % SUFFIXES
 
 
-@dataclass(frozen=True)
+@dataclass
 class LogBilinear:
-    """Context vectors R, context matrix C, target vectors Q and biases b over classes."""
-
-    contexts: np.ndarray
-    matrix: np.ndarray
-    targets: np.ndarray
-    bias: np.ndarray
-
-    def log10_probabilities(self, before: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of every class after each class of ``before``."""
-        values = (self.contexts[before] @ self.matrix @ self.targets.T + self.bias).astype(np.float64)
-        values -= values.max(axis=1, keepdims=True)
-        return (values - np.log(np.exp(values).sum(axis=1, keepdims=True))) / np.log(10)
+    """Parameters, with the accumulated squares of their gradients; ``groups`` lists the first unit place of each group.
 
+    ``order`` puts units in the order of their groups: place k holds unit order[k], and groups are runs of places.
+    """
 
-def trained(before: np.ndarray, after: np.ndarray, counts: np.ndarray, classes: int = CLASSES, seed: int = 11) -> LogBilinear:
-    """Noise-contrastive estimation on pairs of classes with their counts; the noise is the unigram distribution.
-
-    A batch of pairs drawn by their counts shares its noise classes. Without pairs all classes are alike.
+    order: np.ndarray
+    contexts: np.ndarray  # R, by unit
+    matrices: np.ndarray  # C, by position
+    group_targets: np.ndarray  # A
+    group_bias: np.ndarray  # a
+    targets: np.ndarray  # Q, by place
+    bias: np.ndarray  # b, by place
+
+    NAMES = ("contexts", "matrices", "group_targets", "group_bias", "targets", "bias")
+
+    @classmethod
+    def started(cls, unigram: np.ndarray, seed: int = 11) -> LogBilinear:
+        """A model that ignores the context and gives each unit its share in ``unigram`` (counts by unit)."""
+        rng, n = np.random.default_rng(seed), len(unigram)
+        order = np.argsort(-unigram, kind="stable")
+        share = unigram[order] + 0.5
+        share = share / share.sum()
+        starts = np.arange(0, n, GROUP)
+        mass = np.add.reduceat(share, starts)
+        small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        matrices = np.stack([np.eye(DIMENSION, dtype=np.float32) / (1 + j) for j in range(CONTEXT)])
+        within = np.log(share / np.repeat(mass, np.diff(np.append(starts, n))))
+        return cls(order, small(n, DIMENSION), matrices, small(len(starts), DIMENSION), np.log(mass).astype(np.float32), small(n, DIMENSION), within.astype(np.float32))
+
+    def parts(self) -> list[np.ndarray]:
+        return [getattr(self, name) for name in self.NAMES]
+
+    def places(self) -> np.ndarray:
+        """The place of each unit."""
+        found = np.empty(len(self.order), np.int64)
+        found[self.order] = np.arange(len(self.order))
+        return found
+
+    def predicted(self, before: np.ndarray) -> np.ndarray:
+        """h for rows of CONTEXT units, the nearest first."""
+        return sum((self.contexts @ self.matrices[j])[before[:, j]] for j in range(CONTEXT))
+
+    def log10_probabilities(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of each unit of ``after`` in its context, by one product for each group."""
+        moved = [self.contexts @ self.matrices[j] for j in range(CONTEXT)]
+        place_of = self.places()
+        out = np.empty(len(after), np.float64)
+        for start in range(0, len(after), 1 << 15):
+            own = slice(start, start + (1 << 15))
+            h = moved[0][before[own, 0]]
+            for j in range(1, CONTEXT):
+                h += moved[j][before[own, j]]
+            place = place_of[after[own]]
+            group = (place // GROUP).astype(np.uint16)
+            found = _log_softmax(h @ self.group_targets.T + self.group_bias, group)
+            for rows, g in _runs(group):
+                held = slice(g * GROUP, (g + 1) * GROUP)
+                found[rows] += _log_softmax(h[rows] @ self.targets[held].T + self.bias[held], place[rows] - g * GROUP)
+            out[own] = found
+        return out / np.log(10)
+
+
+def _log_softmax(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """log softmax of one column in each row of ``values``, which is used up."""
+    values -= values.max(axis=1, keepdims=True)
+    own = values[np.arange(len(values)), chosen].astype(np.float64)
+    return own - np.log(np.exp(values, out=values).sum(axis=1, dtype=np.float64))
+
+
+def _runs(group: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(rows, group) for each group that occurs."""
+    order = np.argsort(group, kind="stable")
+    held = group[order]
+    starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.empty(0, np.int64)
+    for a, b in zip(starts, np.append(starts[1:], len(held)), strict=True):
+        yield order[a:b], int(held[a])
+
+
+class Trainer:
+    """Follows noise-contrastive gradients from a model on; the steps are scaled by the squares of past gradients.
+
+    A group's noise is drawn from the groups by their frequency, a unit's noise from the units of its group. The tokens
+    of a step share their noise.
     """
-    rng = np.random.default_rng(seed)
-    unigram = np.bincount(after, counts, classes) + 0.5
-    unigram /= unigram.sum()
-    contexts, targets = rng.normal(0, 0.1, (2, classes, DIMENSION)).astype(np.float32)
-    matrix, bias = np.eye(DIMENSION, dtype=np.float32), np.log(unigram).astype(np.float32)
-    if not len(counts):
-        return LogBilinear(contexts * 0, matrix, targets, bias * 0)
-    edges = np.cumsum(counts / counts.sum())
-    shift = np.log(NOISE * unigram).astype(np.float32)
-    parts = [contexts, matrix, targets, bias]
-    seen = [np.full(x.shape, 1e-6, np.float32) for x in parts]
-    for _ in range(STEPS):
-        drawn = np.minimum(np.searchsorted(edges, rng.random(BATCH)), len(counts) - 1)
-        c, t, noise = before[drawn], after[drawn], rng.choice(classes, NOISE, p=unigram)
-        held = contexts[c]
-        predicted = held @ matrix
-        true = (predicted * targets[t]).sum(axis=1) + bias[t] - shift[t]
-        false = predicted @ targets[noise].T + bias[noise] - shift[noise]
-        up = 1 / (1 + np.exp(np.minimum(true, 50)))  # of the data: 1 - sigmoid
-        down = -1 / (1 + np.exp(-np.clip(false, -50, 50)))
-        g_predicted = up[:, None] * targets[t] + down @ targets[noise]
-        gradients = (
-            _summed(c, g_predicted @ matrix.T, classes),
-            held.T @ g_predicted,
-            _summed(t, up[:, None] * predicted, classes) + _summed(noise, down.T @ predicted, classes),
-            np.bincount(t, up, classes) + np.bincount(noise, down.sum(axis=0), classes),
-        )
-        for x, g, s in zip(parts, gradients, seen, strict=True):
-            g = (g / BATCH).astype(np.float32)
+
+    def __init__(self, model: LogBilinear, unigram: np.ndarray, squares: list[np.ndarray] | None = None, seed: int = 5):
+        self.model, self.place_of = model, model.places()
+        self.squares = squares or [np.full(x.shape, 1e-4, np.float32) for x in model.parts()]
+        self.rng, n = np.random.default_rng(seed), len(model.order)
+        share = unigram[model.order] + 0.5
+        starts = np.arange(0, n, GROUP)
+        mass = np.add.reduceat(share, starts)
+        self.group_noise = mass / mass.sum()
+        self.noise = [share[a : a + GROUP] / share[a : a + GROUP].sum() for a in starts]
+        self.tokens = 0
+
+    def step(self, before: np.ndarray, after: np.ndarray) -> None:
+        m, n = self.model, len(after)
+        h = m.predicted(before)
+        place = self.place_of[after]
+        group = (place // GROUP).astype(np.uint16)
+        back, g_targets, g_bias = _contrast(h, group, m.group_targets, m.group_bias, self.group_noise, self._drawn(self.group_noise))
+        u_targets, u_bias = np.zeros_like(m.targets), np.zeros_like(m.bias)
+        for rows, g in _runs(group):
+            held = slice(g * GROUP, (g + 1) * GROUP)
+            more, own_targets, own_bias = _contrast(h[rows], place[rows] - g * GROUP, m.targets[held], m.bias[held], self.noise[g], self._drawn(self.noise[g]))
+            back[rows] += more
+            u_targets[held], u_bias[held] = own_targets, own_bias
+        r_gradient, c_gradient = np.zeros_like(m.contexts), np.empty_like(m.matrices)
+        for j in range(CONTEXT):
+            summed = _summed(before[:, j], back, len(m.contexts))
+            c_gradient[j] = m.contexts.T @ summed
+            r_gradient += summed @ m.matrices[j].T
+        for x, g, s in zip(m.parts(), (r_gradient, c_gradient, g_targets, g_bias, u_targets, u_bias), self.squares, strict=True):
+            g /= n
             s += g * g
             x += RATE * g / np.sqrt(s)
-    return LogBilinear(*parts)
+        self.tokens += n
+
+    def _drawn(self, share: np.ndarray) -> np.ndarray:
+        return np.searchsorted(np.cumsum(share[:-1]), self.rng.random(NOISE))
+
+
+def _contrast(h: np.ndarray, chosen: np.ndarray, targets: np.ndarray, bias: np.ndarray, share: np.ndarray, noise: np.ndarray):
+    """Gradients of the contrast of ``chosen`` against ``noise``, both rows of ``targets``: of h, targets and bias."""
+    shift = np.log(NOISE * share).astype(np.float32)
+    true = np.einsum("ij,ij->i", h, targets[chosen]) + bias[chosen] - shift[chosen]
+    false = h @ targets[noise].T + (bias[noise] - shift[noise])
+    up = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # of the data: 1 - sigmoid
+    down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
+    back = up[:, None] * targets[chosen] + down @ targets[noise]
+    hot = np.zeros((len(noise), len(targets)), np.float32)
+    hot[np.arange(len(noise)), noise] = 1
+    g_targets = _summed(chosen, up[:, None] * h, len(targets)) + hot.T @ (down.T @ h)
+    g_bias = np.bincount(chosen, up, len(targets)) + hot.T @ down.sum(axis=0)
+    return back, g_targets, g_bias.astype(np.float32)
 
 
 def _summed(place: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
-    """Sums of ``rows`` by ``place``."""
-    order = np.argsort(place, kind="stable")
+    """Sums of ``rows`` by ``place``, which is under 65536."""
+    order = np.argsort(place.astype(np.uint16), kind="stable")
     held = place[order]
     starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
     out = np.zeros((size, rows.shape[1]), rows.dtype)
@@ -117,6 +212,12 @@ def _summed(place: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def contexts_of(units: np.ndarray) -> np.ndarray:
+    """The CONTEXT units before each token of a text, the nearest first; what lies before a text are ends."""
+    padded = np.concatenate([np.zeros(CONTEXT, units.dtype), units])
+    return np.stack([padded[CONTEXT - 1 - j : len(padded) - 1 - j] for j in range(CONTEXT)], axis=1)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(token, c) over the training documents, the end included. Tasks count before they shuffle."""
 
@@ -151,19 +252,25 @@ class Words:
     counts: np.ndarray
     total: int  # N
     distinct: int  # V
-    class_total: np.ndarray
-    class_distinct: np.ndarray
+    unit_total: np.ndarray
+    unit_distinct: np.ndarray
 
-    def class_of(self, word: bytes) -> int:
+    def unit_of(self, word: bytes) -> int:
         place = self.places.get(word, -1)
-        return place if 0 <= place <= WORDS else suffix_class(word)
+        return place if 0 <= place <= WORDS else suffix_unit(word)
 
     def base(self, c):
         return np.log10((c + SMOOTH) / (self.total + SMOOTH * (self.distinct + 1)))
 
-    def within(self, c, classes):
-        """log10 probability of a word with count ``c`` in its class; a word that is a class of its own has all of it."""
-        return np.where(classes <= WORDS, 0.0, np.log10((c + SMOOTH) / (self.class_total[classes] + SMOOTH * (self.class_distinct[classes] + 1))))
+    def within(self, c, units):
+        """log10 probability of a word with count ``c`` in its unit; a word that is a unit of its own has all of it."""
+        return np.where(units <= WORDS, 0.0, np.log10((c + SMOOTH) / (self.unit_total[units] + SMOOTH * (self.unit_distinct[units] + 1))))
+
+    def unigram(self) -> np.ndarray:
+        """Training tokens of each unit."""
+        found = np.array(self.unit_total, np.float64)
+        found[: min(len(self.counts), WORDS + 1)] = self.counts[: WORDS + 1]
+        return found
 
 
 def words_of(counts: DataFrame) -> Words:
@@ -172,126 +279,217 @@ def words_of(counts: DataFrame) -> Words:
     top = sorted(_frequent(counts.where(F.col("token") != F.lit(END))), key=lambda r: (-r["c"], bytes(r["token"])))
     found = [bytes(r["token"]) for r in top]
     held = np.array([end["c"] if end else 0, *(r["c"] for r in top)], np.int64)
-    sums = counts.where(F.col("token") != F.lit(END)).groupBy(_suffix_class().alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    class_total, class_distinct = np.zeros(CLASSES), np.zeros(CLASSES)
+    sums = counts.where(F.col("token") != F.lit(END)).groupBy(_suffix_unit().alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    unit_total, unit_distinct = np.zeros(UNITS), np.zeros(UNITS)
     for r in sums:
-        class_total[r["k"]], class_distinct[r["k"]] = r["n"], r["v"]
+        unit_total[r["k"]], unit_distinct[r["k"]] = r["n"], r["v"]
     for word, c in zip(found[:WORDS], held[1 : WORDS + 1].tolist(), strict=True):
-        class_total[suffix_class(word)] -= c
-        class_distinct[suffix_class(word)] -= 1
+        unit_total[suffix_unit(word)] -= c
+        unit_distinct[suffix_unit(word)] -= 1
     places = {END: 0} | {w: i + 1 for i, w in enumerate(found)}
-    return Words(places, held, total["n"], total["v"], class_total, class_distinct)
+    return Words(places, held, total["n"], total["v"], unit_total, unit_distinct)
 
 
 def _frequent(counts: DataFrame) -> list:
     """Rows of the most frequent tokens, at most FREQUENT: those from a count on that a histogram of counts gives.
 
-    A top-k of that size would send as many rows from every task to the driver.
+    A top-k of that size would send as many rows from every task to the driver. Of tokens at the last level that
+    doesn't fit whole, those of the smallest hashes are taken.
     """
     level = F.floor(F.log2("c") * 32).cast("int")  # a couple of thousand levels at most
-    held, least = 0, None
+    held, least, cut = 0, None, None
     for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        held += r["count"]
-        if held > FREQUENT:
+        if held + r["count"] > FREQUENT:
+            cut = r["level"]
             break
-        least = r["level"]
-    return [] if least is None else counts.where(level >= least).collect()
-
-
-def _suffix_class():
+        held, least = held + r["count"], r["level"]
+    chosen = F.lit(False) if least is None else level >= least
+    if cut is not None:
+        bucket = F.pmod(F.xxhash64("token"), F.lit(4096))
+        most = -1
+        for r in sorted(counts.where(level == cut).groupBy(bucket.alias("b")).count().collect(), key=lambda r: r["b"]):
+            held += r["count"]
+            if held > FREQUENT:
+                break
+            most = r["b"]
+        chosen = chosen | ((level == cut) & (bucket <= most))
+    return counts.where(chosen).collect()
+
+
+def _suffix_unit():
     return (F.crc32(F.substring("token", -SUFFIX, SUFFIX)) % SUFFIXES + (1 + WORDS)).cast("int")
 
 
-class _Classes:
-    """Classes of the tokens of texts, with the classes of frequent words at hand."""
+class _Units:
+    """Units of the tokens of texts, with those of frequent words at hand."""
 
     def __init__(self, words: Words):
         self.words = words
-        self.held = np.array([words.class_of(w) for w in words.places], np.int32)
+        self.held = np.array([words.unit_of(w) for w in words.places], np.int16)
 
     def __call__(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(places, -1 if not frequent; classes)."""
+        """(places, -1 if not frequent; units)."""
         get = self.words.places.get
         places = np.array([get(t, -1) for t in tokens], np.int64)
-        classes = self.held[places]
+        units = self.held[places]
         rare = np.flatnonzero(places < 0)
         if len(rare):
-            classes[rare] = [suffix_class(tokens[i]) for i in rare.tolist()]
-        return places, classes
+            units[rare] = [suffix_unit(tokens[i]) for i in rare.tolist()]
+        return places, units
 
 
-def class_pairs(docs: DataFrame, words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of (class before, class) over the training documents: at most CLASSES ** 2 rows."""
+PASS = (
+    "row long, doc_id long, held_out boolean, turn int, n_tokens long, n_known long, base_score double, within double, "
+    "rare array<binary>, times array<int>, units array<smallint>"
+)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes_of, found = _Classes(words.value), np.zeros(CLASSES * CLASSES, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                _, classes = classes_of(tokens_of(text.as_py()))
-                before = np.concatenate([[0], classes[:-1]])  # a text starts after the end
-                np.add.at(found, before.astype(np.int64) * CLASSES + classes, 1)
-        pairs = np.flatnonzero(found)
-        yield pa.RecordBatch.from_pydict({"pair": pa.array(pairs, pa.int64()), "n": pa.array(found[pairs], pa.int64())})
 
-    rows = _training(docs).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    table = rows.toArrow().sort_by("pair")
-    pairs, n = table["pair"].to_numpy(), table["n"].to_numpy()
-    return pairs // CLASSES, pairs % CLASSES, n.astype(float)
+def tokenised(docs: DataFrame, sent) -> DataFrame:
+    """PASS: each text's units, what the frequent words give to its scores, and its other words with their numbers."""
+    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int16()))
+    schema = pa.schema([(x.split()[0], t) for x, t in zip(PASS.split(", "), types, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, units_of = sent.value, _Units(sent.value)
+        base, within = own.base(own.counts), own.within(own.counts, units_of.held)
+        row = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                columns: list[list] = [[] for _ in range(7)]
+                for text in batch.column(2):
+                    tokens = tokens_of(text.as_py())
+                    places, units = units_of(tokens)
+                    frequent = places >= 0
+                    kept = places[frequent]
+                    rare = Counter(tokens[i] for i in np.flatnonzero(~frequent).tolist())
+                    values = (len(tokens), int((own.counts[kept] > 0).sum()), base[kept].sum(), within[kept].sum(), list(rare), list(rare.values()), units)
+                    for column, value in zip(columns, values, strict=True):
+                        column.append(value)
+                rows = np.arange(row, row + batch.num_rows)
+                row += batch.num_rows
+                turns = pa.array((rows + TaskContext.get().partitionId()) % ROUNDS, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(1), turns, *(pa.array(c, t) for c, t in zip(columns, types[4:], strict=True))], schema=schema)
+
+    common.short_batches(docs.sparkSession)
+    rows = docs.select("doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), "text")
+    return rows.mapInArrow(run, PASS)
 
 
-PASS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<int>"
+def _contexts(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, units) of the texts of a column, one after another."""
+    flat, ends = units.flatten().to_numpy(), np.cumsum(units.value_lengths().to_numpy())
+    before = contexts_of(flat)
+    # the first tokens of a text don't look into the one before
+    for j in range(CONTEXT):
+        for k in range(j + 1):
+            at = ends[:-1] + k
+            inside = at < ends[1:]
+            before[at[inside], j] = 0
+    return before, flat
+
+
+def trained(first: DataFrame, unigram: np.ndarray) -> LogBilinear:
+    """A model fitted on the texts of ``first`` (units, turn, held_out) that aren't held out.
+
+    Each of ROUNDS rounds takes the documents of one turn, so every training token is seen once. Under LEAST_TOKENS tokens
+    are seen several times, up to MOST_PASSES. Without training tokens all units are alike.
+    """
+    spark = first.sparkSession
+    model = LogBilinear.started(unigram)
+    total = unigram.sum()
+    if not total:
+        return model
+    texts = first.where("not held_out")
+    if total < LEAST_TOKENS:  # so little is one task's work, which goes over it several times
+        passes = int(min(MOST_PASSES, np.ceil(LEAST_TOKENS / total)))
+        return _averaged(texts.select("units"), spark.sparkContext.broadcast((model, None, unigram)), 1, 0, passes)[0]
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, int(total // (ROUNDS * 16 * BATCH))))
+    squares = None
+    for number in range(ROUNDS):
+        own = texts.where(F.col("turn") == number).select("units")
+        model, squares = _averaged(own, spark.sparkContext.broadcast((model, squares, unigram)), tasks, number)
+    return model
+
+
+def _averaged(texts: DataFrame, sent, tasks: int, number: int, passes: int = 1) -> tuple[LogBilinear, list[np.ndarray]]:
+    """One round: every task trains on its texts from the sent model on, and the parameters are averaged block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, squares, unigram = sent.value
+        model = LogBilinear(model.order, *(x.copy() for x in model.parts()))
+        trainer = Trainer(model, unigram, squares and [x.copy() for x in squares], seed=number * 1000 + TaskContext.get().partitionId())
+        rest: tuple = ()
+        if passes > 1:  # under LEAST_TOKENS tokens in all
+            batches = list(batches) * passes
+        for batch in batches:
+            before, after = _contexts(batch.column(0))
+            if rest:
+                before, after = np.concatenate([rest[0], before]), np.concatenate([rest[1], after])
+            whole = len(after) // BATCH * BATCH
+            for at in range(0, whole, BATCH):
+                trainer.step(before[at : at + BATCH], after[at : at + BATCH])
+            rest = before[whole:], after[whole:]
+        if rest and len(rest[1]):
+            trainer.step(*rest)
+        if not trainer.tokens:
+            return
+        rows = [(part, at, trainer.tokens, x[at : at + BLOCK].tobytes(), s[at : at + BLOCK].tobytes()) for part, (x, s) in enumerate(zip(model.parts(), trainer.squares, strict=True)) for at in range(0, len(x), BLOCK)]
+        columns = list(zip(*rows, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.binary())], names=["part", "at", "tokens", "x", "s"])
+
+    def mean(table: pa.Table) -> pa.Table:
+        weights = table["tokens"].to_numpy().astype(np.float64)
+        weights /= weights.sum()
+        sums = [sum(w * np.frombuffer(v.as_py(), np.float32).astype(np.float64) for w, v in zip(weights, table[c], strict=True)).astype(np.float32).tobytes() for c in ("x", "s")]
+        return pa.table({"part": table["part"][:1], "at": table["at"][:1], "x": pa.array([sums[0]], pa.binary()), "s": pa.array([sums[1]], pa.binary())})
+
+    found = texts.coalesce(tasks).mapInArrow(run, "part int, at int, tokens long, x binary, s binary")
+    rows = found.groupBy("part", "at").applyInArrow(mean, "part int, at int, x binary, s binary").collect()
+    model, squares, _ = sent.value
+    parts = [x.copy() for x in model.parts()]
+    held = [x.copy() for x in squares] if squares else [np.full(x.shape, 1e-4, np.float32) for x in parts]
+    for r in rows:
+        for arrays, data in ((parts, r["x"]), (held, r["s"])):
+            shape = arrays[r["part"]].shape[1:]
+            own = np.frombuffer(data, np.float32).reshape(-1, *shape)
+            arrays[r["part"]][r["at"] : r["at"] + len(own)] = own
+    return LogBilinear(model.order, *parts), held
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
 
     Learns from the documents whose CRC-32 of doc_id isn't a multiple of FOLDS; one without doc_id is learned from too.
-    A null or empty text is its end alone. Repeated rows count and are scored each; other columns are ignored. Without
-    training documents every count is zero. An empty table gives no rows.
+    A null or empty text is its end alone; texts of any length are whole. Repeated rows count and are scored each; other
+    columns are ignored. Without training documents every count is zero. An empty table gives no rows.
     """
     spark = docs.sparkSession
     common.short_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = common.materialise(word_counts(docs), "word-counts")
     words = words_of(counts)
-    sent = spark.sparkContext.broadcast(words)
-    model = spark.sparkContext.broadcast(trained(*class_pairs(docs, sent)))
+    first = common.materialise(tokenised(docs, spark.sparkContext.broadcast(words)), "lm-pass")
+    sent = spark.sparkContext.broadcast(trained(first, words.unigram()))
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, classes_of = sent.value, _Classes(sent.value)
-        base, within = own.base(own.counts), own.within(own.counts, classes_of.held)
-        row = TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                parts = [tokens_of(text.as_py()) for text in batch.column(2)]
-                found = [classes_of(tokens) for tokens in parts]
-                before = [np.concatenate([[0], classes[:-1]]) for _, classes in found]
-                met = np.unique(np.concatenate(before)).astype(np.int64)
-                table = model.value.log10_probabilities(met)  # one product for the batch
-                columns: list[list] = [[] for _ in range(6)]
-                for tokens, (places, classes), previous in zip(parts, found, before, strict=True):
-                    frequent = places >= 0
-                    kept = places[frequent]
-                    rare = Counter(tokens[i] for i in np.flatnonzero(~frequent).tolist())
-                    neural = table[np.searchsorted(met, previous), classes].sum()
-                    values = (len(tokens), int((own.counts[kept] > 0).sum()), base[kept].sum(), neural + within[kept].sum(), list(rare), list(rare.values()))
-                    for column, value in zip(columns, values, strict=True):
-                        column.append(value)
-                rows = np.arange(row, row + batch.num_rows)
-                row += batch.num_rows
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
-                    names=[x.split()[0] for x in PASS.split(", ")],
-                )
-
-    first = docs.select("doc_id", held_out(F.col("doc_id"), FOLDS).alias("held_out"), "text").mapInArrow(score, PASS)
-    first = common.materialise(first, "lm-pass")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            units = batch.column(7)
+            each = sent.value.log10_probabilities(*_contexts(units))
+            starts = np.concatenate([[0], np.cumsum(units.value_lengths().to_numpy())[:-1]])
+            neural = np.add.reduceat(each, starts)  # a text has its end at least
+            total = pa.array(neural + batch.column(6).to_numpy())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), total], names=names)
+
+    passed = first.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "units")
+    neural = passed.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
     rare = first.select("row", F.inline(F.arrays_zip(F.col("rare").alias("token"), F.col("times").alias("times")))).toDF("row", "token", "times")
     c = F.coalesce("c", F.lit(0))
-    totals = F.array(*[F.lit(float(words.class_total[k] + SMOOTH * (words.class_distinct[k] + 1))) for k in range(CLASSES)])
+    totals = F.array(*[F.lit(float(words.unit_total[k] + SMOOTH * (words.unit_distinct[k] + 1))) for k in range(1 + WORDS, UNITS)])
     every = words.total + SMOOTH * (words.distinct + 1)
     sums = (
         rare.join(counts, "token", "left")
@@ -299,13 +497,13 @@ def scores(docs: DataFrame) -> DataFrame:
             "row",
             F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("known"),
             (F.col("times") * F.log10((c + SMOOTH) / F.lit(float(every)))).alias("base"),
-            (F.col("times") * F.log10((c + SMOOTH) / F.element_at(totals, _suffix_class() + 1))).alias("within"),
+            (F.col("times") * F.log10((c + SMOOTH) / F.element_at(totals, _suffix_unit() - WORDS))).alias("within"),
         )
         .groupBy("row")
         .agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("within").alias("within"))
     )
     zero = F.lit(0.0)
-    return first.drop("rare", "times").join(sums, "row", "left").select(
+    return neural.join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -249,5 +249,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, with all their columns."""
-    return common.without(docs, near_duplicates(docs).where("doc_id != component_id"))
+    """The rows of ``docs`` (doc_id, text, any others) with the smallest doc_id of their component, with all their columns.
+
+    Of rows that repeat a doc_id in one component one stays if it is the smallest there; those in other components are
+    judged by their own. A row without doc_id stays. Null and empty texts are linked with each other like any others
+    that are near; an empty table stays empty.
+    """
+    marks = near_duplicates(docs).select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "fingerprint", "component_id")
+    marks = common.materialise(marks, "near-marks")
+    if not common.ids_repeat(marks):
+        return common.staying(docs, marks)
+    # rows of one doc_id in one component count as one, by the smallest of their fingerprints
+    first = marks.where("kept").groupBy("doc_id").agg(F.min("fingerprint").alias("first"))
+    marks = marks.join(first, "doc_id", "left").select("doc_id", (F.col("kept") & (F.col("fingerprint") == F.col("first"))).alias("kept"), F.conv("fingerprint", 16, -10).cast("long").alias("key"))
+    return common.staying(_with_fingerprint(docs), common.materialise(marks, "near-marks"), F.col("__fp")).drop("__fp")
+
+
+def _with_fingerprint(docs: DataFrame) -> DataFrame:
+    """``docs`` and one more column ``__fp``."""
+    names, at = [f"c{i}" for i in range(len(docs.columns))], docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter((fingerprint(shingle_hashes(x.as_py())) for x in batch.column(at)), np.uint64, batch.num_rows)
+            yield batch.append_column("fp", pa.array(found.view(np.int64)))
+
+    common.short_batches(docs.sparkSession)
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
+    return docs.toDF(*names).mapInArrow(run, f"{schema}, fp long").toDF(*docs.columns, "__fp")

@@ -2,8 +2,9 @@
 
 Every record is one gzip member, so an archive can be entered at any member. The reader deals out byte ranges; a task
 scans its range for the gzip magic, accepts a candidate only if its first bytes decode to a WARC header, and owns the
-records whose member starts inside the range, reading past the end of the range to finish the last one. Archives are
-opened through ``pyarrow.fs`` by URI, so they can lie in any shared store that it reaches.
+records whose member starts inside the range, reading past the end of the range to finish the last one. The writer sees
+to it that no member holds the start of another, even if a payload is an archive, so what a task accepts is a record.
+Archives are opened through ``pyarrow.fs`` by URI, so they can lie in any shared store that it reaches.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ CHUNK = 256 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_OK = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
-RECORDS = "page_id long, url string, record_type string, refers_to long, payload binary"
+RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
 
 
 def planned(pages: DataFrame) -> DataFrame:
@@ -49,11 +50,11 @@ def planned(pages: DataFrame) -> DataFrame:
         .groupBy("payload_digest")
         .agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("payload_digest", "response")
+        .select("payload_digest", "response", "n")
     )
     revisits = F.col("response") != F.col("page_id")
     return (
-        common.salted_join(rows, stored, "payload_digest", "page_id")
+        common.salted_join(rows, common.materialise(stored, "warc-stored"), "payload_digest", "page_id")
         .withColumn("refers_to", F.when(revisits, F.col("response")))
         .withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
         .drop("response")
@@ -69,8 +70,39 @@ def _header(fields: list[tuple[str, str]]) -> bytes:
 
 
 def _member(data: bytes) -> bytes:
-    packer = zlib.compressobj(5, zlib.DEFLATED, 31)
-    return packer.compress(data) + packer.flush()
+    """``data`` as one gzip member that holds no second member's start that a reader would take for a record.
+
+    Deflate stores what it can't compress, so a payload that is itself an archive could lie in the member as it is. If
+    so, the data are flushed inside each magic, which puts bytes between its first and second one.
+    """
+    for level, cuts in ((5, [0]), (5, _inside(data)), (9, _inside(data)), (1, _inside(data))):
+        packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+        parts = [packer.compress(data[a:b]) + packer.flush(zlib.Z_FULL_FLUSH) for a, b in zip(cuts, cuts[1:], strict=False)]
+        found = b"".join([*parts, packer.compress(data[cuts[-1] :]), packer.flush()])
+        if not _holds_record(found):
+            return found
+    raise ValueError("a record can't be written without the start of another inside")
+
+
+def _inside(data: bytes) -> list[int]:
+    """Zero and the places after the first byte of each magic in ``data``."""
+    places, at = [0], data.find(MAGIC)
+    while at >= 0:
+        places.append(at + 1)
+        at = data.find(MAGIC, at + 1)
+    return places
+
+
+def _holds_record(member: bytes) -> bool:
+    at = member.find(MAGIC, 1)
+    while at >= 0:
+        try:
+            if zlib.decompressobj(31).decompress(member[at : at + (64 << 10)], 7) == b"WARC/1.":
+                return True
+        except zlib.error:
+            pass
+        at = member.find(MAGIC, at + 1)
+    return False
 
 
 def _escaped(url: str | None) -> str:
@@ -109,6 +141,8 @@ def encoded_record(page_id, url, payload: bytes, digest: str, kind: str, refers_
 def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> int:
     """Write one archive per partition of ``records`` (see ``planned``) below ``path``; return the record count.
 
+    Ids and urls may be null, texts are of any length, records may repeat, and an empty table gives empty archives.
+
     A task writes under a name of its own attempt and renames it at the end, so a repeated task replaces its archive.
     """
 
@@ -226,7 +260,7 @@ def _page(urn: str) -> int | None:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in RECORDS.split(", ")]
-    schema = pa.schema([pa.field(n, t) for n, t in zip(names, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)])
+    schema = pa.schema([pa.field(n, t) for n, t in zip(names, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)])
     rows: list[tuple] = []
     held = 0
 
@@ -245,7 +279,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         continue
                     refers = _page(fields["warc-refers-to"]) if kind == "revisit" else None
                     payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
-                    rows.append((_page(fields["warc-record-id"]), _unescaped(fields["warc-target-uri"]), kind, refers, payload))
+                    digest = fields["warc-payload-digest"].removeprefix("sha1:")
+                    rows.append((_page(fields["warc-record-id"]), _unescaped(fields["warc-target-uri"]), kind, refers, digest, payload))
                     held += len(payload or b"")
                     if held >= 8 << 20 or len(rows) >= 4096:
                         yield flushed()
@@ -255,7 +290,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Page records of the archives below ``path``: page_id, url, record_type, refers_to, payload (null in revisits)."""
+    """Page records of the archives below ``path``: page_id, url, record_type, refers_to, payload_digest, payload.
+
+    A revisit has no payload and names the digest of the one it stands for. Records that aren't of pages are passed
+    over; headers and payloads are whole whatever their length. Records that repeat are given as often as they are there.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
     ranges = files.where("length > 0").select("path", "length", starts.alias("start")).withColumn("end", F.least(F.col("start") + range_bytes, "length"))
@@ -265,28 +304,36 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
 
 
 def resolved(records: DataFrame, written: int | None = None) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to); a revisit gets its response's figures.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), one row for each of ``records``.
 
-    It is an error if ``written`` is given and the number of records differs.
+    A revisit gets the figures of the response that it refers to, by page_id and digest: page_ids may repeat with other
+    payloads. It is an error if ``written`` is given and the number of records differs, if the bytes of a response
+    aren't those of its digest, or if a revisit's response isn't there. No records give no rows.
     """
+    sha = F.when(F.col("record_type") == "response", F.sha1("payload"))
     rows = common.materialise(
-        records.select("page_id", "record_type", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest")),
+        records.select("page_id", "record_type", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), "payload_digest", sha.alias("sha")),
         "warc-records",
     )
-    if written is not None and (read := rows.count()) != written:
-        raise ValueError(f"{written} records were written to the archives and {read} read")
-    responses = rows.where("record_type = 'response' and page_id is not null")
-    revisits = rows.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to")
-    target = responses.select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    return rows.where("record_type = 'response'").select(names).unionByName(revisits.join(target, "refers_to").select(names))
+    responses = rows.where("record_type = 'response'")
+    targets = responses.where("page_id is not null").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    revisits = rows.where("record_type = 'revisit'").drop("payload_bytes").join(targets, ["refers_to", "payload_digest"], "left")
+    found = common.materialise(responses.select(*names, "sha").unionByName(revisits.select(*names, F.col("payload_digest").alias("sha"))), "warc-resolved")
+    counts = found.agg(F.count(F.lit(1)).alias("read"), F.count_if(F.col("sha") != F.col("payload_digest")).alias("broken"), F.count_if(F.col("payload_bytes").isNull()).alias("lost")).first()
+    if written is not None and counts["read"] != written:
+        raise ValueError(f"{written} records were written to the archives and {counts['read']} read")
+    if counts["broken"] or counts["lost"]:
+        raise ValueError(f"{counts['broken']} payloads don't fit their digest and {counts['lost']} revisits have no response")
+    return found.select(names)
 
 
 def archived(pages: DataFrame) -> DataFrame:
     """Write ``pages`` (page_id, url, html) to archives in the shared folder and give what reading them back yields.
 
-    Handles null, empty and very long html, null and very long urls, null ids, and an empty table (no rows). Pages that repeat with one
-    page_id and payload are all responses if that id is the largest of its payload.
+    One row for each page. Handles null, empty and very long html and urls, html that is itself an archive, null ids, and
+    an empty table (no rows). Of pages that repeat with one page_id and payload, all are responses if that id is the
+    largest of its payload; a page_id may repeat with other payloads. Other columns are ignored.
     """
     spark = pages.sparkSession
     path = common.scratch(spark, "warc")

@@ -105,3 +105,14 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 60)] + [(7, 7), (200, 201), (201, 200)]
     out = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {**{i: 100 for i in range(100, 161)}, **{i: 1 for i in range(1, 60)}, 200: 200, 201: 200}
+
+
+def test_near_duplicates_of_ids_that_repeat(spark):
+    long = " ".join(f"w{i * i % 997}" for i in range(900))
+    other = " ".join(f"v{i * i % 991}" for i in range(900))
+    rows = [(1, long, "a"), (4, long + " more", "b"), (4, other, "c"), (5, other + " x", "d"), (4, other, "e"), (None, other, "f"), (None, None, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect())
+    assert got == sorted([(1, long), (4, other), (-1, other), (-1, "")])

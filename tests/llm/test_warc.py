@@ -65,7 +65,37 @@ def test_headers_of_any_length(spark):
 
 
 def test_a_record_that_is_not_read_is_an_error(spark):
-    records = spark.createDataFrame([(1, "u", "response", None, bytearray(b"x"))], warc.RECORDS)
+    records = spark.createDataFrame([(1, "u", "response", None, hashlib.sha1(b"x").hexdigest(), bytearray(b"x"))], warc.RECORDS)
     assert warc.resolved(records, 1).count() == 1
     with pytest.raises(ValueError):
         warc.resolved(records, 2)
+
+
+def test_ids_that_repeat_with_equal_and_other_payloads(spark):
+    same, other = "s" * 2000, "o" * 1500
+    rows = [(8, "a", same), (9, "b", same), (9, "c", other), (9, "d", "small"), (7, "e", other), (9, "f", same), (None, "g", same), (6, "h", same)]
+    out = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    digest = {h: hashlib.sha1(h.encode()).hexdigest() for _, _, h in rows}
+    want = []
+    for i, _, h in rows:
+        best = max(j for j, _, g in rows if g == h and j is not None)
+        revisit = len(h) >= warc.MIN_REVISIT and i is not None and i != best
+        want.append((i or -1, len(h), digest[h], "revisit" if revisit else "response", best if revisit else -1))
+    assert sorted((r["page_id"] or -1, r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or -1) for r in out) == sorted(want)
+
+
+def test_a_page_that_is_an_archive(spark, tmp_path):
+    rng = random.Random(6)
+    inner = b"".join(warc.encoded_record(k, f"http://in/{k}", rng.randbytes(40_000), "d", "response", None, "2024-01-01T00:00:00Z") for k in range(5))
+    record = warc.encoded_record(1, "http://u", inner, "d", "response", None, "2024-01-01T00:00:00Z")
+    name = tmp_path / "a"
+    name.write_bytes(record + warc.encoded_record(2, "http://v", b"after", "d", "response", None, "2024-01-01T00:00:00Z"))
+    size = name.stat().st_size
+    with pa.OSFile(str(name)) as file:
+        for step in (97, 4096, size):
+            found = [(f["warc-record-id"], b) for at in range(0, size, step) for f, b in warc.records_in(file, size, at, at + step)]
+            assert [i for i, _ in found] == ["<urn:page:1>", "<urn:page:2>"]
+            assert found[0][1].endswith(inner)
+    # without the writer's care the inner members are taken for records
+    packer = __import__("zlib").compressobj(5, 8, 31)
+    assert warc._holds_record(packer.compress(b"WARC/1.1\r\n\r\n" + inner) + packer.flush()) and not warc._holds_record(record)
