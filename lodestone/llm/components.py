@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        pairs = common.materialise(_small_star(_large_star(pairs)), "edges")
+        pairs = common.materialise(_small_star(_large_star(pairs, 2 * state[0])), "edges")
     else:
         raise RuntimeError("the components didn't settle")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
@@ -39,11 +39,11 @@ def _least(pairs: DataFrame, own: str) -> DataFrame:
     return common.materialise(found.where("n > 0"), "stars")
 
 
-def _large_star(pairs: DataFrame) -> DataFrame:
+def _large_star(pairs: DataFrame, total: int) -> DataFrame:
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least(both, "v > u").select("u", F.least("u", "m").alias("m"), "n")
     larger = both.where("v > u")
-    return common.salted_join(larger, least, "u", "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return common.salted_join(larger, least, "u", "v", "inner", total=total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:

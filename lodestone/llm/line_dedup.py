@@ -26,18 +26,27 @@ from . import common, components
 MIN_WORDS = 5
 RADIUS = 3
 SIMILARITY = 0.8
-WIDTHS = (13, 13, 13, 12, 12)
+WIDTHS = (12, 12, 12, 12, 12)
 NEIGHBOURS = 8
-#: The fingerprint has three times LANES bits; each counter of words takes LANES bits of a long.
-LANES = 21
+#: The fingerprint has LANES * EACH bits; each counter of words takes LANES bits of a long, so up to CHUNK words fit.
+LANES, EACH, CHUNK = 10, 6, 256
 #: A side of a join that is measured to be at most this large is broadcast.
 BROADCAST_BYTES = 48 << 20
-_MASK = 1 | 1 << LANES | 1 << 2 * LANES
+_MASK = sum(1 << LANES * i for i in range(EACH))
 _ID = "decimal(38,0)"
 
 
+def words_of(line: Column) -> Column:
+    """Lower-case words of letters and digits."""
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+
+
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return F.array_join(words_of(line), " ")
+
+
+def _digest(norm: Column) -> Column:
+    return F.xxhash64(norm)
 
 
 def _bit_sums(hashed: str) -> list[Column]:
@@ -46,10 +55,9 @@ def _bit_sums(hashed: str) -> list[Column]:
 
 
 def _fingerprint(n: Column) -> Column:
-    """A bit is 1 if over half of the ``n`` words have it.
+    """A bit is 1 if over half of the ``n`` words have it, for up to CHUNK words.
 
-    The top bit of a lane of 2 * count + (half - 1 - n) tells whether 2 * count > n, so three bits are compared at once;
-    that is exact for lines of up to half a million words.
+    The top bit of a lane of 2 * count + (half - 1 - n) tells whether 2 * count > n, so EACH bits are compared at once.
     """
     half = 1 << (LANES - 1)
     base = (F.lit(half - 1) - n) * F.lit(_MASK)
@@ -60,26 +68,48 @@ def _fingerprint(n: Column) -> Column:
     return fp
 
 
+def _long_fingerprint(n: Column) -> Column:
+    """The same from one sum for each bit, ``b0`` and on, for any number of words."""
+    fp = F.lit(0).cast("long")
+    for bit in range(LANES * EACH):
+        fp = fp.bitwiseOR(F.when(F.col(f"b{bit}") * 2 > n, F.lit(1 << bit)).otherwise(F.lit(0)))
+    return fp
+
+
 def _occurrence() -> Column:
     """A number that orders occurrences by doc_id, then by place."""
     return F.col("doc_id").cast(_ID) * F.lit(1 << 32).cast(_ID) + F.col("line_no").cast(_ID)
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, row, line_no, words) for every line; t stands for the text, row for the row of ``docs``."""
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("t"), F.monotonically_increasing_id().alias("row"), "text")
+    lines = rows.select("doc_id", "t", "row", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.select("doc_id", "t", "row", "line_no", words_of(F.col("line")).alias("words"))
+
+
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, digest, length, fp) of every line of at least MIN_WORDS words.
+    """(doc_id, t, line_no, d1, d2, length, fp) of every line of at least MIN_WORDS words, for each row of ``docs``.
 
-    Each distinct word of a line counts once: else the frequent words of a language, which all long lines share, would
-    outvote the others. Words are counted by bit where the text is read, so no text is shuffled. A row that repeats gives its lines once.
-    The outer forms of explode and the filter after the aggregate keep each line from being normalised several times:
-    a filter on an array's size would be computed from the text anew.
+    ``t`` is a hash of the text that the line is in, ``d1`` and ``d2`` stand for the line itself. Each distinct word of
+    a line counts once: else the frequent words of a language, which all long lines share, would outvote the others.
+    Words are counted by bit where the text is read, so no text is shuffled; a long line is counted in chunks first.
+    The outer forms of explode and the filter after the aggregate keep each line from being split several times: a
+    filter on an array's size would be computed from the text anew.
     """
-    lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
-    norm = lines.select("doc_id", "line_no", normalised(F.col("line")).alias("norm"))
-    found = F.split("norm", " ")
-    words = norm.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("digest"), F.when(F.size(found) >= MIN_WORDS, F.length("norm")).otherwise(0).alias("length"), F.array_distinct(found).alias("words"))
-    each = words.select("doc_id", "line_no", "digest", "length", F.explode_outer("words").alias("word")).select("doc_id", "line_no", "digest", "length", F.xxhash64("word").alias("hashed"))
-    summed = each.groupBy("doc_id", "line_no", "digest", "length").agg(F.count(F.lit(1)).alias("n"), *_bit_sums("hashed"))
-    return summed.where("length > 0").select("doc_id", "line_no", "digest", "length", _fingerprint(F.col("n")).alias("fp"))
+    norm = F.array_join("words", " ")
+    lines = _lines(docs).select("doc_id", "t", "row", "line_no", F.size("words").alias("n_words"), _digest(norm).alias("d1"), F.xxhash64(F.lit(1), norm).alias("d2"), F.length(norm).alias("length"), F.array_distinct("words").alias("words"))
+    keys = ["row", "doc_id", "t", "line_no", "d1", "d2", "length", "n_words", "n"]
+    each = lines.withColumn("n", F.size("words")).select(*keys, F.posexplode_outer("words").alias("at", "word"))
+    each = each.select(*keys, F.floor(F.col("at") / CHUNK).alias("chunk"), F.xxhash64("word").alias("hashed"))
+    summed = each.groupBy(*keys, "chunk").agg(*_bit_sums("hashed")).where(F.col("n_words") >= MIN_WORDS)
+    out = ["doc_id", "t", "line_no", "d1", "d2", "length"]
+    # written, since both kinds of lines are read from it
+    summed = common.materialise(summed.select(*out, "row", "n", F.when(F.col("n") <= CHUNK, _fingerprint(F.col("n"))).alias("fp"), *[F.when(F.col("n") > CHUNK, F.col(f"s{j}")).alias(f"s{j}") for j in range(LANES)]), "lines")
+    several = summed.where("fp is null")
+    bits = [F.sum(F.shiftrightunsigned(f"s{bit % LANES}", bit // LANES * LANES).bitwiseAND(F.lit((1 << LANES) - 1).cast("long"))).alias(f"b{bit}") for bit in range(LANES * EACH)]
+    long = several.groupBy(*out, "row", "n").agg(*bits).select(*out, _long_fingerprint(F.col("n")).alias("fp"))
+    return summed.where("fp is not null").select(*out, "fp").unionByName(long)
 
 
 def _distance(a: str, b: str) -> Column:
@@ -91,7 +121,7 @@ def _keys(fp: Column) -> Column:
     blocks = [F.shiftrightunsigned(fp, s).bitwiseAND(F.lit((1 << w) - 1).cast("long")) for s, w in zip(starts, WIDTHS, strict=True)]
     keys = []
     for number, (i, j) in enumerate(combinations(range(len(WIDTHS)), len(WIDTHS) - RADIUS)):
-        keys.append(F.shiftleft(F.shiftleft(F.lit(number).cast("long"), 13).bitwiseOR(blocks[i]), 13).bitwiseOR(blocks[j]))
+        keys.append(F.shiftleft(F.shiftleft(F.lit(number).cast("long"), WIDTHS[i]).bitwiseOR(blocks[i]), WIDTHS[j]).bitwiseOR(blocks[j]))
     return F.array(*keys)
 
 
@@ -112,25 +142,27 @@ def _neighbours(prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return firsts, others, met.where(F.col("at") == NEIGHBOURS + 2).select("key")
 
 
-def _by_size(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+def _by_size(left: DataFrame, right: DataFrame, key: str | list[str], how: str) -> DataFrame:
     """Join with ``right`` broadcast if its measured size allows, else by a shuffle. ``right`` is a written table."""
-    arrays = [F.size(f.name) * 4 for f in right.schema if f.dataType.typeName() == "array"]
+    arrays = [F.size(f.name) * 16 for f in right.schema if f.dataType.typeName() == "array"]
     width = sum(arrays, F.lit(40 + 16 * len(right.columns)))
     size = right.agg(F.sum(width)).first()[0] or 0
     return left.join(F.broadcast(right) if size <= BROADCAST_BYTES else right, key, how)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of occurrences whose lines' edit similarity is at least SIMILARITY."""
+    """(a, b) of those ``pairs`` (a, b, a_d1, b_d1) of occurrences whose lines' edit similarity is at least SIMILARITY."""
     pairs = common.materialise(pairs, "line-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("id"), F.col(f"{x}_d1").alias("d1")) for x in ("a", "b")])).alias("x")).select("x.*").distinct()
     doc_id = F.floor(F.col("id") / F.lit(1 << 32).cast(_ID)).cast("long")
-    places = ids.select("id", doc_id.alias("doc_id")).withColumn("line_no", (F.col("id") - F.col("doc_id").cast(_ID) * F.lit(1 << 32).cast(_ID)).cast("int"))
-    places = common.materialise(places.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted")), "line-places")
-    found = _by_size(docs.where("text is not null"), places, "doc_id", "inner").dropDuplicates(["doc_id"])
-    lines = found.select("doc_id", F.explode("wanted").alias("line_no"), F.split("text", "\n", -1).alias("lines"))
-    texts = common.materialise(lines.select(_occurrence().alias("id"), normalised(F.get("lines", F.col("line_no"))).alias("norm")), "line-texts")
-    met = pairs.join(texts.withColumnsRenamed({"id": "a", "norm": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "norm": "y"}), "b")
+    places = ids.select("id", "d1", doc_id.alias("doc_id")).withColumn("line_no", (F.col("id") - F.col("doc_id").cast(_ID) * F.lit(1 << 32).cast(_ID)).cast("int"))
+    places = common.materialise(places.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "d1")).alias("wanted")), "line-places")
+    found = _by_size(docs.where("text is not null"), places, "doc_id", "inner")
+    lines = found.select("doc_id", F.explode("wanted").alias("w"), F.split("text", "\n", -1).alias("lines")).select("doc_id", "w.line_no", "w.d1", normalised(F.get("lines", F.col("w.line_no"))).alias("norm"))
+    # rows may repeat, and with other texts: those that hold the line count, and one of them
+    texts = lines.where(_digest(F.col("norm")) == F.col("d1")).groupBy(_occurrence().alias("id")).agg(F.min("norm").alias("norm"))
+    texts = common.materialise(texts, "line-texts")
+    met = pairs.select("a", "b").join(texts.withColumnsRenamed({"id": "a", "norm": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "norm": "y"}), "b")
     most, apart = _most_and_apart(F.length("x"), F.length("y"))
     # written before it is filtered: a filter would be pushed below and compute its inputs several times
     judged = met.select("a", "b", "x", "y", most.alias("most"), apart.alias("apart"))
@@ -172,26 +204,27 @@ def _common_head(x: Column, y: Column) -> Column:
 
 
 def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences (doc_id, line_no, digest), and (digest, kept) with the occurrence that stays, for groups of several."""
+    """Occurrences (doc_id, t, line_no, d1, d2), and (d1, d2, kept) with the occurrence that stays, for groups of several."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lines = common.materialise(fingerprinted(docs), "lines")
-    found = lines.groupBy("digest").agg(F.min(_occurrence()).alias("id"), F.first("fp").alias("fp"), F.first("length").alias("length"), F.count(F.lit(1)).alias("n"))
+    lines = fingerprinted(docs)
+    found = lines.groupBy("d1", "d2").agg(F.min(_occurrence()).alias("id"), F.min("fp").alias("fp"), F.min("length").alias("length"), F.count(F.lit(1)).alias("n"))
     distinct = common.materialise(found, "distinct-lines")
-    prints = common.materialise(distinct.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "line-prints")
+    prints = common.materialise(distinct.groupBy("fp").agg(F.min("id").alias("id"), F.min_by("d1", "id").alias("d1"), F.count(F.lit(1)).alias("n")), "line-prints")
     firsts, others, crowded = _neighbours(prints)
-    id_of = prints.select("fp", "id")
-    shared = common.materialise(prints.where("n > 1").select("fp", F.col("id").alias("first")), "shared-prints")
+    id_of = prints.select("fp", "id", "d1")
+    shared = common.materialise(prints.where("n > 1").select("fp", F.col("id").alias("first"), F.col("d1").alias("first_d1")), "shared-prints")
 
     def as_lines(pairs: DataFrame) -> DataFrame:
-        a, b = id_of.withColumnsRenamed({"fp": "a", "id": "p"}), id_of.withColumnsRenamed({"fp": "b", "id": "q"})
-        return pairs.join(a, "a").join(b, "b").select(F.col("p").alias("a"), F.col("q").alias("b"))
+        for side in ("a", "b"):
+            pairs = pairs.withColumnRenamed(side, "fp").join(id_of, "fp").drop("fp").withColumnsRenamed({"id": side, "d1": f"{side}_d1"})
+        return pairs.select("a", "b", "a_d1", "b_d1")
 
     # first the lines of one fingerprint are compared with its first
-    same = _by_size(distinct, shared, "fp", "inner").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    same = _by_size(distinct, shared, "fp", "inner").where("id != first").select(F.col("id").alias("a"), F.col("first").alias("b"), F.col("d1").alias("a_d1"), F.col("first_d1").alias("b_d1"))
     links = _verified(docs, as_lines(firsts).unionByName(same))
     groups = components.connected_components(links)
     # whatever else may link is verified only where the groups are still apart
-    labelled = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").select("fp", "id", "length", F.coalesce("component", "id").alias("part"))
+    labelled = distinct.join(groups.withColumnRenamed("node", "id"), "id", "left").select("fp", "id", "d1", "length", F.coalesce("component", "id").alias("part"))
     labelled = common.materialise(labelled, "line-parts")
     close = others.unionByName(_with_later_lines(firsts, shared))
     crowded = common.materialise(crowded.distinct(), "crowded-blocks")
@@ -199,15 +232,23 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         close = close.unionByName(_apart(labelled, crowded)).distinct()
     rest = common.materialise(_across(labelled, close).unionByName(_within(labelled, shared)).distinct(), "line-pairs")
     if not rest.isEmpty():
-        groups = components.connected_components(links.unionByName(_verified(docs, rest)))
+        # the groups are nodes now, so that only what is new is gone over again
+        more = _verified(docs, rest)
+        label = groups.withColumnsRenamed({"component": "part"})
+        for side in ("a", "b"):
+            more = more.join(label.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("part", side)).drop("part")
+        over = components.connected_components(more).withColumnsRenamed({"component": "top"})
+        joined = groups.join(over.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        alone = over.join(groups.select("node"), "node", "left_anti").select("node", F.col("top").alias("component"))
+        groups = joined.unionByName(alone)
     groups = groups.withColumnRenamed("node", "id")
-    kept = distinct.join(groups, "id", "left").where("n > 1 or component is not null").select("digest", F.coalesce("component", "id").alias("kept"))
-    return lines.select("doc_id", "line_no", "digest"), common.materialise(kept, "kept-lines")
+    kept = distinct.join(groups, "id", "left").where("n > 1 or component is not null").select("d1", "d2", F.coalesce("component", "id").alias("kept"))
+    return lines.select("doc_id", "t", "line_no", "d1", "d2"), common.materialise(kept, "kept-lines")
 
 
 def _with_later_lines(pairs: DataFrame, shared: DataFrame) -> DataFrame:
     """Those pairs (a, b) of fingerprints of which one has several lines, so that its first doesn't settle them."""
-    a, b = (_by_size(pairs, shared.select(F.col("fp").alias(side)), side, "left_semi") for side in ("a", "b"))
+    a, b = (pairs.join(shared.select(F.col("fp").alias(side)), side, "left_semi").select("a", "b") for side in ("a", "b"))
     return a.unionByName(b)
 
 
@@ -217,20 +258,24 @@ def _open(x: str, y: str) -> Column:
     return (F.col(f"{x}_part") != F.col(f"{y}_part")) & (apart <= most)
 
 
+_SIDE = ("id", "d1", "length", "part")
+_PAIR = ["a_id as a", "b_id as b", "a_d1", "b_d1"]
+
+
 def _across(labelled: DataFrame, close: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines in different groups, one of each of two fingerprints ``close`` (a, b)."""
+    """Pairs of lines in different groups, one of each of two fingerprints ``close`` (a, b)."""
     for side in ("a", "b"):
-        close = close.join(labelled.select(F.col("fp").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "length", "part")]), side)
-    return close.where(_open("a", "b")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+        close = close.join(labelled.select(F.col("fp").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in _SIDE]), side)
+    return close.where(_open("a", "b")).selectExpr(*_PAIR)
 
 
 def _within(labelled: DataFrame, shared: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines of one fingerprint in different groups; the first line has been compared with all."""
-    lines = _by_size(labelled, shared, "fp", "inner").where("id != first")
+    """Pairs of lines of one fingerprint in different groups; the first line has been compared with all."""
+    lines = _by_size(labelled, shared.select("fp", "first"), "fp", "inner").where("id != first")
     mixed = lines.groupBy("fp").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("fp")
-    lines = common.materialise(lines.join(mixed, "fp").select("fp", "id", "length", "part"), "later-lines")
-    a, b = (lines.select("fp", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "length", "part")]) for side in ("a", "b"))
-    return a.join(b, "fp").where((F.col("a_id") < F.col("b_id")) & _open("a", "b")).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    lines = common.materialise(lines.join(mixed, "fp").select("fp", *_SIDE), "later-lines")
+    a, b = (lines.select("fp", *[F.col(c).alias(f"{side}_{c}") for c in _SIDE]) for side in ("a", "b"))
+    return a.join(b, "fp").where((F.col("a_id") < F.col("b_id")) & _open("a", "b")).selectExpr(*_PAIR)
 
 
 def _apart(labelled: DataFrame, crowded: DataFrame) -> DataFrame:
@@ -249,15 +294,16 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, dropped) for every row of ``docs`` (doc_id, text): the lines that stay, joined again.
 
     ``dropped`` has the places of the lines that went, from 0. A null text stays null and has no lines; an empty text is
-    one empty line. Lines of fewer than MIN_WORDS words stay. A row without doc_id stays as it is. Rows that repeat a
-    doc_id count as one, and lose the same lines. Other columns are ignored; an empty table gives no rows.
+    one empty line; lines of any length are whole. Lines of fewer than MIN_WORDS words stay. A row without doc_id stays as
+    it is. Rows that repeat a doc_id with one text lose the same lines; with other texts each loses its own, and lines at
+    one place of them count as one occurrence. Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lines, kept = line_groups(docs)
     # both sides are written tables, so a frequent line is split by the adaptive skew join
-    gone = lines.join(kept, "digest").where(_occurrence() != F.col("kept"))
-    gone = common.materialise(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("dropped")), "dropped-lines")
-    held = _by_size(docs, gone, "doc_id", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    gone = lines.join(kept, ["d1", "d2"]).where(_occurrence() != F.col("kept"))
+    gone = common.materialise(gone.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("line_no")).alias("dropped")), "dropped-lines")
+    held = _by_size(docs.withColumn("t", F.xxhash64("text")), gone, ["doc_id", "t"], "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     parts = F.split("text", "\n", -1)
     rest = F.filter(parts, lambda line, at: ~F.array_contains("dropped", at))
     text = F.when(F.size("dropped") == 0, F.col("text")).otherwise(F.array_join(rest, "\n"))

@@ -59,9 +59,9 @@ def test_equals_brute_force_with_a_crowded_block(spark, monkeypatch):
 def test_fingerprint_bits(spark):
     line = "alpha beta gamma delta epsilon alpha zeta"
     hashes = [r[0] for r in spark.createDataFrame([(w,) for w in dict.fromkeys(line.split())], "w string").selectExpr("xxhash64(w)").collect()]
-    want = sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    want = sum(1 << b for b in range(line_dedup.LANES * line_dedup.EACH) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
     got = line_dedup.fingerprinted(spark.createDataFrame([(1, line), (1, line)], "doc_id long, text string")).collect()
-    assert [r["fp"] for r in got] == [want]
+    assert [r["fp"] for r in got] == [want, want]  # a row that repeats gives its lines again
 
 
 def test_empty_repeats_and_clashing_names(spark):
@@ -88,3 +88,18 @@ def test_later_lines_of_a_fingerprint_meet_each_other_and_near_fingerprints(spar
         got = {r["doc_id"]: r["dropped"] for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got == _brute(rows, prints)
         assert got[1] == [] and got[2] == [0] and all(got[k] == [0] for k, x in rows[3:] if x in near)
+
+
+def test_long_lines_are_counted_whole(spark):
+    words = [f"w{k}" for k in range(2000)]
+    hashes = {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w)").collect()}
+    rows = [(n, " ".join(words[:n])) for n in (5, 255, 256, 257, 511, 512, 513, 2000)]
+    got = {r["doc_id"]: r["fp"] for r in line_dedup.fingerprinted(spark.createDataFrame(rows + rows, "doc_id long, text string")).collect()}
+    for n, _ in rows:
+        assert got[n] == sum(1 << b for b in range(60) if 2 * sum(hashes[w] >> b & 1 for w in words[:n]) > n)
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    rows = [(1, "a line of five words\nanother line that stays here"), (2, "x\na line of five words"), (2, "a line of five words\ny"), (2, "x\na line of five words"), (2, "some other words in here")]
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"], r["dropped"]) for r in out) == sorted([(1, rows[0][1], []), (2, "x", [1]), (2, "y", [0]), (2, "x", [1]), (2, rows[4][1], [])])
