@@ -43,9 +43,9 @@ FREQUENT = 131_072
 HELD = 300_000
 SMOOTH = 0.1
 #: Model and training: tokens of context, vector length, tokens of a gradient step, noise units, learning rate.
-CONTEXT, DIMENSION, BATCH, NOISE, RATE = 3, 24, 8192, 16, 0.1
+CONTEXT, DIMENSION, BATCH, NOISE, RATE = 3, 24, 32768, 16, 0.15
 #: Rounds of training, each over its own part of the documents; fewer tokens than LEAST_TOKENS are seen several times.
-ROUNDS, LEAST_TOKENS, MOST_PASSES = 4, 2_000_000, 12
+ROUNDS, LEAST_TOKENS, MOST_PASSES, SMALL_BATCH = 4, 2_000_000, 12, 4096
 #: Rows of parameters that are averaged together.
 BLOCK = 256
 END = b""
@@ -111,35 +111,38 @@ class LogBilinear:
         moved = [self.contexts @ self.matrices[j] for j in range(CONTEXT)]
         place_of = self.places()
         out = np.empty(len(after), np.float64)
-        for start in range(0, len(after), 1 << 15):
-            own = slice(start, start + (1 << 15))
-            h = moved[0][before[own, 0]]
+        for start in range(0, len(after), 1 << 16):
+            place = place_of[after[start : start + (1 << 16)]]
+            order = np.argsort(place.astype(np.uint16), kind="stable")
+            place, held = place[order], before[start : start + (1 << 16)][order]
+            h = moved[0][held[:, 0]]
             for j in range(1, CONTEXT):
-                h += moved[j][before[own, j]]
-            place = place_of[after[own]]
-            group = (place // GROUP).astype(np.uint16)
-            found = _log_softmax(h @ self.group_targets.T + self.group_bias, group)
-            for rows, g in _runs(group):
-                held = slice(g * GROUP, (g + 1) * GROUP)
-                found[rows] += _log_softmax(h[rows] @ self.targets[held].T + self.bias[held], place[rows] - g * GROUP)
-            out[own] = found
+                h += moved[j][held[:, j]]
+            found = _log_softmax(h @ self.group_targets.T + self.group_bias, place // GROUP)
+            for a, b, g in _runs(place):
+                own = slice(g * GROUP, (g + 1) * GROUP)
+                found[a:b] += _log_softmax(h[a:b] @ self.targets[own].T + self.bias[own], place[a:b] - g * GROUP)
+            out[start + order] = found
         return out / np.log(10)
 
 
 def _log_softmax(values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """log softmax of one column in each row of ``values``, which is used up."""
-    values -= values.max(axis=1, keepdims=True)
+    if values.max() > 60 or values.min() < -60:
+        values -= values.max(axis=1, keepdims=True)
     own = values[np.arange(len(values)), chosen].astype(np.float64)
-    return own - np.log(np.exp(values, out=values).sum(axis=1, dtype=np.float64))
+    np.exp(values, out=values)
+    return own - np.log(values @ np.ones(values.shape[1], values.dtype), dtype=np.float64)
 
 
-def _runs(group: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """(rows, group) for each group that occurs."""
-    order = np.argsort(group, kind="stable")
-    held = group[order]
-    starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.empty(0, np.int64)
-    for a, b in zip(starts, np.append(starts[1:], len(held)), strict=True):
-        yield order[a:b], int(held[a])
+def _runs(place: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(from, to, group) for each group that occurs in sorted places."""
+    ends = np.searchsorted(place, np.arange(GROUP, place[-1] + GROUP + 1, GROUP)) if len(place) else ()
+    last = 0
+    for g, end in enumerate(ends):
+        if end > last:
+            yield last, int(end), g
+        last = int(end)
 
 
 class Trainer:
@@ -158,20 +161,22 @@ class Trainer:
         mass = np.add.reduceat(share, starts)
         self.group_noise = mass / mass.sum()
         self.noise = [share[a : a + GROUP] / share[a : a + GROUP].sum() for a in starts]
+        self.shift = np.log(NOISE * np.concatenate(self.noise))
         self.tokens = 0
 
     def step(self, before: np.ndarray, after: np.ndarray) -> None:
         m, n = self.model, len(after)
-        h = m.predicted(before)
         place = self.place_of[after]
-        group = (place // GROUP).astype(np.uint16)
-        back, g_targets, g_bias = _contrast(h, group, m.group_targets, m.group_bias, self.group_noise, self._drawn(self.group_noise))
-        u_targets, u_bias = np.zeros_like(m.targets), np.zeros_like(m.bias)
-        for rows, g in _runs(group):
-            held = slice(g * GROUP, (g + 1) * GROUP)
-            more, own_targets, own_bias = _contrast(h[rows], place[rows] - g * GROUP, m.targets[held], m.bias[held], self.noise[g], self._drawn(self.noise[g]))
-            back[rows] += more
-            u_targets[held], u_bias[held] = own_targets, own_bias
+        order = np.argsort(place.astype(np.uint16), kind="stable")  # so that the tokens of a group, and those of a unit, stand together
+        place, before = place[order], before[order]
+        h, group = m.predicted(before), place // GROUP
+        back, g_targets, g_bias = self._contrast(h, group, m.group_targets, m.group_bias, np.log(NOISE * self.group_noise))
+        self._against(h, back, m.group_targets, m.group_bias, self.group_noise, g_targets, g_bias)
+        more, u_targets, u_bias = self._contrast(h, place, m.targets, m.bias, self.shift)
+        back += more
+        for a, b, g in _runs(place):
+            own = slice(g * GROUP, (g + 1) * GROUP)
+            self._against(h[a:b], back[a:b], m.targets[own], m.bias[own], self.noise[g], u_targets[own], u_bias[own])
         r_gradient, c_gradient = np.zeros_like(m.contexts), np.empty_like(m.matrices)
         for j in range(CONTEXT):
             summed = _summed(before[:, j], back, len(m.contexts))
@@ -183,23 +188,29 @@ class Trainer:
             x += RATE * g / np.sqrt(s)
         self.tokens += n
 
-    def _drawn(self, share: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.cumsum(share[:-1]), self.rng.random(NOISE))
-
-
-def _contrast(h: np.ndarray, chosen: np.ndarray, targets: np.ndarray, bias: np.ndarray, share: np.ndarray, noise: np.ndarray):
-    """Gradients of the contrast of ``chosen`` against ``noise``, both rows of ``targets``: of h, targets and bias."""
-    shift = np.log(NOISE * share).astype(np.float32)
-    true = np.einsum("ij,ij->i", h, targets[chosen]) + bias[chosen] - shift[chosen]
-    false = h @ targets[noise].T + (bias[noise] - shift[noise])
-    up = 1 / (1 + np.exp(np.clip(true, -30, 30)))  # of the data: 1 - sigmoid
-    down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-    back = up[:, None] * targets[chosen] + down @ targets[noise]
-    hot = np.zeros((len(noise), len(targets)), np.float32)
-    hot[np.arange(len(noise)), noise] = 1
-    g_targets = _summed(chosen, up[:, None] * h, len(targets)) + hot.T @ (down.T @ h)
-    g_bias = np.bincount(chosen, up, len(targets)) + hot.T @ down.sum(axis=0)
-    return back, g_targets, g_bias.astype(np.float32)
+    @staticmethod
+    def _contrast(h: np.ndarray, chosen: np.ndarray, targets: np.ndarray, bias: np.ndarray, shift: np.ndarray):
+        """Gradients of what is ``chosen``, a sorted row of ``targets`` for each row of ``h``: of h, targets and bias."""
+        met = targets[chosen]
+        with np.errstate(over="ignore"):
+            up = 1 / (1 + np.exp(np.einsum("ij,ij->i", h, met) + (bias - shift.astype(np.float32))[chosen]))
+        starts = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
+        g_targets = np.zeros_like(targets)
+        g_targets[chosen[starts]] = np.add.reduceat(up[:, None] * h, starts)
+        met *= up[:, None]
+        return met, g_targets, np.bincount(chosen, up, len(targets)).astype(np.float32)
+
+    def _against(self, h, back, targets, bias, share, g_targets, g_bias) -> None:
+        """Add the gradients of noise drawn by ``share``, which all rows have in common, in place."""
+        noise = np.searchsorted(np.cumsum(share[:-1]), self.rng.random(NOISE))
+        met = targets[noise]
+        values = h @ met.T
+        values += (bias[noise] - np.log(NOISE * share[noise])).astype(np.float32)
+        with np.errstate(over="ignore"):
+            down = -1 / (1 + np.exp(np.negative(values, out=values), out=values))
+        back += down @ met
+        np.add.at(g_targets, noise, down.T @ h)
+        np.add.at(g_bias, noise, down.sum(axis=0))
 
 
 def _summed(place: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
@@ -402,9 +413,9 @@ def trained(first: DataFrame, unigram: np.ndarray) -> LogBilinear:
         return model
     texts = first.where("not held_out")
     if total < LEAST_TOKENS:  # so little is one task's work, which goes over it several times
-        passes = int(min(MOST_PASSES, np.ceil(LEAST_TOKENS / total)))
+        passes = int(min(MOST_PASSES, 1 + np.ceil(LEAST_TOKENS / total)))
         return _averaged(texts.select("units"), spark.sparkContext.broadcast((model, None, unigram)), 1, 0, passes)[0]
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, int(total // (ROUNDS * 16 * BATCH))))
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, int(total // (ROUNDS * 4 * BATCH))))
     squares = None
     for number in range(ROUNDS):
         own = texts.where(F.col("turn") == number).select("units")
@@ -420,15 +431,16 @@ def _averaged(texts: DataFrame, sent, tasks: int, number: int, passes: int = 1)
         model = LogBilinear(model.order, *(x.copy() for x in model.parts()))
         trainer = Trainer(model, unigram, squares and [x.copy() for x in squares], seed=number * 1000 + TaskContext.get().partitionId())
         rest: tuple = ()
+        step = BATCH if passes == 1 else SMALL_BATCH
         if passes > 1:  # under LEAST_TOKENS tokens in all
             batches = list(batches) * passes
         for batch in batches:
             before, after = _contexts(batch.column(0))
             if rest:
                 before, after = np.concatenate([rest[0], before]), np.concatenate([rest[1], after])
-            whole = len(after) // BATCH * BATCH
-            for at in range(0, whole, BATCH):
-                trainer.step(before[at : at + BATCH], after[at : at + BATCH])
+            whole = len(after) // step * step
+            for at in range(0, whole, step):
+                trainer.step(before[at : at + step], after[at : at + step])
             rest = before[whole:], after[whole:]
         if rest and len(rest[1]):
             trainer.step(*rest)
