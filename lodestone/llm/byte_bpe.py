@@ -28,8 +28,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 128, 256, 512)
 #: Rows of one matrix at most.
 ROWS = 8192
-#: Pieces that a Python worker remembers in each of two generations.
-REMEMBERED = 250_000
+#: Pieces that a Python worker remembers in each of two generations, and their characters at most: some 100 MB each.
+REMEMBERED, REMEMBERED_LENGTH = 250_000, 48
 #: Characters of texts whose unmet pieces are merged together.
 GROUP = 1_000_000
 NO_RANK = np.int32(np.iinfo(np.int32).max)
@@ -202,12 +202,11 @@ class TextCodec:
         split = self.codec.split
         pieces = [split(text) if text else [] for text in texts]
         fresh = self._unmet(pieces)
-        known = self.known
+        known, long = self.known, {}
         for piece, ids in zip(fresh, self.codec.encode_pieces([p.encode() for p in fresh]), strict=True):
-            known[piece] = " ".join(map(str, ids))
+            (known if len(piece) <= REMEMBERED_LENGTH else long)[piece] = " ".join(map(str, ids))
         for own in pieces:
-            yield " ".join(map(known.__getitem__, own))
-
+            yield " ".join(map(known.__getitem__, own) if not long else [known.get(p) or long[p] for p in own])
 
     def _unmet(self, pieces: list[list[str]]) -> list[str]:
         """Pieces without known ids. What the last generation knows is moved into this one as it is met."""
@@ -236,7 +235,7 @@ def encoded(docs: DataFrame, path: str | None = None, keep_ids: bool = True) ->
 
     ``path`` is the rank file, which every executor has. The ids are decoded again, and ``decoded_sha256`` is of the
     bytes that come out. Null and empty texts have no tokens; texts of any length are whole; other columns are ignored.
-    Without ``keep_ids`` the ids themselves aren't returned.
+    Rows that repeat are encoded each; an empty table gives no rows. Without ``keep_ids`` the ids aren't returned.
     """
     path = path or public_tokenizers.path(VOCABULARY)
     fields = [("doc_id", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids + [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
@@ -246,8 +245,8 @@ def encoded(docs: DataFrame, path: str | None = None, keep_ids: bool = True) ->
         texts = text_codec_at(path)
         codec = texts.codec
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 ids, counts, digests, decoded = [], [], [], []
                 for joined in texts.encoded(part.column(1).to_pylist()):
                     own = np.fromstring(joined, np.int32, sep=" ").tolist() if joined else []
@@ -265,7 +264,11 @@ def encoded(docs: DataFrame, path: str | None = None, keep_ids: bool = True) ->
 
 
 def decoded(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids)."""
+    """(doc_id, text) for every row of ``encoded`` (doc_id, ids), other columns ignored.
+
+    Null and empty ids give an empty text, an unknown id is an error, and bytes that aren't UTF-8, as ids cut in the
+    middle of a character give, become replacement characters. An empty table gives no rows.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def uri(path: str) -> str:
+    """``path`` as ``pyarrow.fs`` takes it: Spark writes local ones with one slash."""
+    return "file:///" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path
+
+
 def short_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold ``BATCH_BYTES`` at most, or one row if that is longer.
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +23,10 @@ from . import common
 SPECTRUM = 4
 BUCKETS = 1 << 15
 #: The sample that the classifier is fitted on: so many texts of each language, fewer if all languages together would
-#: exceed TEXTS, and so many languages at most.
+#: exceed TEXTS, and so many languages at most, so that the model has a bound.
 SAMPLE = 400
 TEXTS = 4096
-LANGUAGES = 128
+LANGUAGES = 1024
 #: Landmarks of all languages together.
 LANDMARKS = 192
 RIDGE = 1e-2
@@ -158,30 +159,43 @@ def solved(labels: list[str], bits: list[bytes]) -> Model:
 def identified(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of ``docs`` (doc_id, text, lang); fits on ``docs`` first.
 
-    A null text or one without a letter is ``und`` with score 0, as is any text if no language was learned. Other
-    columns are ignored, and lang is used for fitting only. Repeated rows give repeated predictions.
+    A null text or one without a letter is ``und`` with score 0, as is any text if no language was learned. Texts are
+    whole; other columns are ignored, and lang is used for fitting only. Repeated rows give repeated predictions; of rows
+    that repeat a doc_id with other texts one is fitted on. An empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, scores = sent.value.predict(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                names, scores = sent.value.predict(batch.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language isn't ``und``, with all their columns."""
+    """The rows of ``docs`` (text, lang, any others) whose language can be told; a null lang becomes the predicted one.
+
+    Null texts and texts without a letter are rejected, and nothing else. If no language was learned, lang stays as it
+    is. Texts are whole; rows that repeat are judged each; columns may have any names. An empty table stays empty.
+    """
+    common.short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs))
     names = [f"c{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index("text")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found, _ = sent.value.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([x != UNKNOWN for x in found], pa.bool_()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                texts = batch.column(at).to_pylist()
+                found, _ = sent.value.predict(texts)
+                told = pa.array([x if x != UNKNOWN else None for x in found], pa.string())
+                batch = batch.set_column(lang, batch.schema.field(lang), pc.coalesce(batch.column(lang), told))
+                yield batch.filter(pa.array([bool(x and _HAS_LETTER(x)) for x in texts], pa.bool_()))
 
     kept = docs.toDF(*names).mapInArrow(keep, ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True)))
     return kept.toDF(*docs.columns)

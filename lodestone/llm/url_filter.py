@@ -7,15 +7,17 @@ context, one trained on accepted and one on rejected URLs. With n(s) occurrences
 
 If xc was never seen, P_k differs from P_{k-1} by the factor L / (n(x) + L) alone, and not at all if x was never seen.
 The log ratio of the two models over a URL is therefore a sum over its substrings of weights that depend on nothing but
-the substring, so scoring is one hash join of substrings with the weights. Contexts are pruned as in a prediction
-suffix tree: a string is kept only if it makes up at least ``MIN_SHARE`` of its order's occurrences, which bounds the
-table at (ORDER + 1) / MIN_SHARE rows whatever the corpus, so it can be broadcast. Everything is DataFrame operations.
+the substring, so scoring is a join of substrings with the weights. Every substring of the examples has its weight,
+however rare. Those that make up at least ``BROADCAST_SHARE`` of their length's occurrences, of which there can't be more
+than (ORDER + 1) / BROADCAST_SHARE, are broadcast; the others meet their substrings in a shuffle. The threshold comes from
+examples that the models haven't seen. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,10 @@ from . import common
 ORDER = 4
 SMOOTHING = 4.0
 ALPHABET = 256.0
-MIN_SHARE = 2e-5
+#: Substrings of at least this share of their length's occurrences are broadcast; it only decides where a join is done.
+BROADCAST_SHARE = 2e-5
+#: One labelled URL in so many is kept from training for the threshold.
+CALIBRATION = 5
 #: Marks before and after each URL.
 START, END = "\x02", "\x03"
 #: Bins of the calibration histogram over the length-normalised ratio, which is clipped to [-SPAN, SPAN].
@@ -98,16 +103,20 @@ def _grams(url: Column) -> Column:
 
 
 def gram_counts(urls: DataFrame) -> DataFrame:
-    """(gram, n_good, n_bad) over ``urls`` (url, good): counts of all URLs, pruned by share at each length."""
+    """(gram, n_good, n_bad) over ``urls`` (url, good): how often each substring occurs in either kind."""
     found = (
         urls.select(F.explode(_grams(F.col("url"))).alias("gram"), F.col("good").cast("long").alias("good"))
         .groupBy("gram")
         .agg(F.sum("good").alias("n_good"), F.sum(1 - F.col("good")).alias("n_bad"))
     )
-    found = common.materialise(found, "url-grams")
-    totals = {r["n"]: r["total"] for r in found.groupBy(F.length("gram").alias("n")).agg(F.sum(F.col("n_good") + F.col("n_bad")).alias("total")).collect()}
-    least = F.element_at(F.create_map(*[F.lit(x) for n in range(1, ORDER + 2) for x in (n, totals.get(n, 0) * MIN_SHARE)]), F.length("gram"))
-    return found.where(F.col("n_good") + F.col("n_bad") >= least)
+    return common.materialise(found, "url-grams")
+
+
+def _frequent(counts: DataFrame) -> DataFrame:
+    """(gram) of the substrings that are broadcast: at most (ORDER + 1) / BROADCAST_SHARE."""
+    totals = {r["n"]: r["total"] for r in counts.groupBy(F.length("gram").alias("n")).agg(F.sum(F.col("n_good") + F.col("n_bad")).alias("total")).collect()}
+    least = F.element_at(F.create_map(*[F.lit(x) for n in range(1, ORDER + 2) for x in (n, totals.get(n, 0) * BROADCAST_SHARE)]), F.length("gram"))
+    return counts.where(F.col("n_good") + F.col("n_bad") >= least).select("gram")
 
 
 def weights(counts: DataFrame) -> tuple[DataFrame, float]:
@@ -115,7 +124,6 @@ def weights(counts: DataFrame) -> tuple[DataFrame, float]:
 
     The number that comes with it is what each character adds whatever it is: the share of the empty context.
     """
-    counts = common.materialise(counts, "url-counts")
     sides = ("good", "bad")
     contexts = counts.where((F.length("gram") <= ORDER) & ~F.endswith("gram", F.lit(END)))  # nothing follows the end
     level = counts.where(F.length("gram") == 1)
@@ -151,13 +159,22 @@ def _unseen(n: str) -> Column:
     return F.log(F.col(f"{n}_bad") + SMOOTHING) - F.log(F.col(f"{n}_good") + SMOOTHING)
 
 
-def scored(urls: DataFrame, table: DataFrame, base: float) -> DataFrame:
+def scored(urls: DataFrame, table: DataFrame, base: float, frequent: DataFrame | None = None) -> DataFrame:
     """(url, score): the log ratio per character of each distinct url, from the weights of its substrings.
 
-    ``table`` has at most (ORDER + 1) / MIN_SHARE rows by construction, so it is broadcast.
+    ``frequent`` (gram) has at most (ORDER + 1) / BROADCAST_SHARE rows, whose weights are broadcast; the others, and all
+    without it, are met in a shuffle. Substrings that no example has weigh nothing.
     """
+    table = common.materialise(table, "url-weights")
     grams = urls.select("url", F.explode(_grams(F.col("url"))).alias("gram"))
-    sums = grams.join(F.broadcast(table), "gram").groupBy("url").agg(F.sum("weight").alias("total"))
+    parts = []
+    if frequent is not None:
+        held = common.materialise(table.join(frequent, "gram", "left_semi"), "url-frequent")
+        parts.append(grams.join(F.broadcast(held), "gram").groupBy("url").agg(F.sum("weight").alias("total")))
+        grams, table = grams.join(F.broadcast(held.select("gram")), "gram", "left_anti"), table.join(held, "gram", "left_anti")
+    rare = grams.groupBy("url", "gram").agg(F.count(F.lit(1)).alias("times")).join(table, "gram")
+    parts.append(rare.groupBy("url").agg(F.sum(F.col("times") * F.col("weight")).alias("total")))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("url").agg(F.sum("total").alias("total"))
     score = F.coalesce("total", F.lit(0.0)) / (F.length("url") + 2) + base
     return urls.join(sums, "url", "left").select("url", score.alias("score"))
 
@@ -188,18 +205,21 @@ def threshold(scores: DataFrame) -> float:
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of ``pages`` (page_id, url).
 
-    URLs that a rule decides are the accepted and rejected examples; the model's verdict counts where no rule fits.
-    A null url has an empty host and path and is allowed, as is everything if the rules give examples of one kind only.
-    Repeated rows give repeated verdicts. Other columns are ignored.
+    URLs that a rule decides are the accepted and rejected examples, of which one in CALIBRATION sets the threshold and
+    the others train the models; the model's verdict counts where no rule fits. A null url has an empty host and path and
+    is allowed, as is everything if the rules give examples of one kind only. URLs of any length are whole. Repeated rows
+    give repeated verdicts. Other columns are ignored; an empty table gives no rows.
     """
     rows = common.materialise(with_rules(pages.select("page_id", "url"), rules), "urls")
     distinct = rows.where("url is not null").groupBy("url").agg(F.first("rule_verdict").alias("rule_verdict"))
     distinct = common.materialise(distinct, "distinct-urls")
     labelled = distinct.where("rule_verdict is not null").select("url", (F.col("rule_verdict") == "allow").alias("good"))
     # little data but much work: a stated number of parts isn't coalesced by size
-    table, base = weights(gram_counts(common.spread(labelled, "url")))
-    scores = common.materialise(scored(common.spread(distinct.select("url"), "url"), table, base), "url-scores")
-    cut = threshold(scores.join(labelled, "url").select("score", "good"))
+    kept_out = F.pmod(F.xxhash64("url"), F.lit(CALIBRATION)) == 0
+    counts = gram_counts(common.spread(labelled.where(~kept_out), "url"))
+    table, base = weights(counts)
+    scores = common.materialise(scored(common.spread(distinct.select("url"), "url"), table, base, _frequent(counts)), "url-scores")
+    cut = threshold(scores.join(labelled.where(kept_out), "url").select("score", "good"))
     verdict = F.coalesce(F.col("rule_verdict"), F.when(F.col("score") < cut, "block").otherwise("allow"))
     # both sides are plain scans, so a hot url is split by the adaptive skew join
     return rows.join(scores, "url", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

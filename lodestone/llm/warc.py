@@ -61,10 +61,6 @@ def planned(pages: DataFrame) -> DataFrame:
     )
 
 
-def _uri(path: str) -> str:
-    return "file:///" + path[len("file:"):].lstrip("/") if path.startswith("file:") else path
-
-
 def _header(fields: list[tuple[str, str]]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode()
 
@@ -147,7 +143,7 @@ def write_archives(records: DataFrame, path: str, date: str = "2024-01-01T00:00:
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = fs.FileSystem.from_uri(_uri(path))
+        store, folder = fs.FileSystem.from_uri(common.uri(path))
         store.create_dir(folder, recursive=True)
         task = TaskContext.get()
         name = f"{folder}/part-{task.partitionId():06d}.warc.gz"
@@ -271,7 +267,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for task in batch.to_pylist():
-            store, name = fs.FileSystem.from_uri(_uri(task["path"]))
+            store, name = fs.FileSystem.from_uri(common.uri(task["path"]))
             with store.open_input_file(name) as file:
                 for fields, block in records_in(file, task["length"], task["start"], task["end"]):
                     kind = fields["warc-type"]

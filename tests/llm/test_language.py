@@ -44,3 +44,45 @@ def test_presence_is_whole(monkeypatch):
     monkeypatch.setattr(language, "SLICE", 64)
     language.presence(text, parts)
     assert (whole == parts).all() and whole.sum() > 26
+
+
+def test_ridge_equals_explicit_kernels(rows):
+    import numpy as np
+
+    chosen = rows[:240]
+    sets = []
+    for _, text, _ in chosen:
+        own = np.zeros(language.BUCKETS, np.uint8)
+        language.presence(text, own)
+        sets.append(set(np.flatnonzero(own).tolist()))
+    bits = [np.packbits(np.isin(np.arange(language.BUCKETS), list(x)).astype(np.uint8)).tobytes() for x in sets]
+    train, fresh = range(200), range(200, 240)
+    labels = [chosen[i][2] for i in train]
+    model = language.solved(labels, [bits[i] for i in train])
+    names = sorted(set(labels))
+    kernel = lambda a, b: len(sets[a] & sets[b]) / (len(sets[a]) * len(sets[b])) ** 0.5
+    marks = [i for i in train if sum(labels[j] == labels[i] for j in range(i + 1)) <= language.LANDMARKS // len(names)]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    root = vectors @ np.diag([1 / v**0.5 if v > 1e-6 * values.max() else 0 for v in values]) @ vectors.T
+    features = lambda part: np.array([[kernel(a, b) for b in marks] for a in part]) @ root
+    weight = np.array([1 / labels.count(x) for x in labels])
+    weight /= weight.mean()
+    target = np.array([[1 if x == n else -1 for n in names] for x in labels])
+    x = features(train)
+    centre, mean = (weight @ x) / weight.sum(), (weight @ target) / weight.sum()
+    gram = (x - centre).T @ np.diag(weight) @ (x - centre) + language.RIDGE * len(labels) / 100 * np.eye(len(marks))
+    solution = np.linalg.solve(gram, (x - centre).T @ np.diag(weight) @ (target - mean))
+    want = (features(fresh) - centre) @ solution + mean
+    got_names, got_scores = model.predict([chosen[i][1] for i in fresh])
+    assert got_names == [names[k] for k in want.argmax(axis=1)]
+    assert got_scores == pytest.approx(np.clip((want.max(axis=1) + 1) / 2, 0, 1).tolist(), abs=2e-3)
+
+
+def test_the_stage_fills_unknown_languages(spark, rows):
+    more = [(900, None, "aa"), (901, "12", None), (902, "kalomi rutete", None), (903, "zscheinung ochung", "xx"), (903, "eauoux", None)]
+    docs = spark.createDataFrame([(x, i, t) for i, t, x in rows + more], "lang string, doc_id long, text string")
+    out = {(r["doc_id"], r["text"]): r["lang"] for r in language.with_known_language(docs).collect()}
+    assert {k: v for k, v in out.items() if k[0] >= 900} == {(902, "kalomi rutete"): "aa", (903, "zscheinung ochung"): "xx", (903, "eauoux"): "cc"}
+    assert all(out[i, t] == x for i, t, x in rows)
+    unknown = spark.createDataFrame([(1, "words", None), (2, "..", None)], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in language.with_known_language(unknown).collect()] == [(1, "words", None)]

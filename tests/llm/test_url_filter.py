@@ -21,15 +21,20 @@ def _probability(counts, text, side):
     return logs
 
 
-def test_scores_equal_the_recursion(spark):
+@pytest.mark.parametrize("share", [None, 2e-5, 0.05])
+def test_scores_equal_the_recursion(spark, monkeypatch, share):
+    monkeypatch.setattr(uf, "BROADCAST_SHARE", share)
     good, bad = ["http://a.net/de/1", "http://b.net/de/22", "http://a.net/de/x"], ["http://a.com/en/1", "http://q.com/en/"]
     labelled = spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "url string, good boolean")
     counts = {r["gram"]: (r["n_good"], r["n_bad"]) for r in uf.gram_counts(labelled).collect()}
     for s in ("a", "net", uf.START, "1" + uf.END):
         assert counts[s] == tuple(sum(f"{uf.START}{u}{uf.END}".count(s) for u in side) for side in (good, bad))
-    table, base = uf.weights(uf.gram_counts(labelled))
+    grams = uf.gram_counts(labelled)
+    table, base = uf.weights(grams)
+    frequent = share and uf._frequent(grams)
+    assert not share or frequent.count() == len(counts) or share > 0.01 and 0 < frequent.count() < len(counts)
     others = ["http://z.net/de/9", "ftp://q.com/en/1", "", "ü", *good]
-    got = {r["url"]: r["score"] for r in uf.scored(spark.createDataFrame([(u,) for u in others], "url string"), table, base).collect()}
+    got = {r["url"]: r["score"] for r in uf.scored(spark.createDataFrame([(u,) for u in others], "url string"), table, base, frequent).collect()}
     contexts = {g: c for g, c in counts.items()}
     for u in others:
         text = f"{uf.START}{u}{uf.END}"
