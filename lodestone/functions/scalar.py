@@ -56,6 +56,11 @@ def log_of(base: Column, value: Column) -> Column:
     return F.ln(value) / F.ln(base)
 
 
+def current_time_in_seconds() -> Column:
+    """Seconds since 1970; one value for a whole query."""
+    return F.unix_timestamp()
+
+
 def strcat(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
@@ -66,10 +71,14 @@ def multi_value(text: Column, sep: str = "\x1d") -> Column:
 
 
 def sort_keys(spec: str) -> list[Column]:
-    """Sort keys from ``+a,-b``: a minus sorts from the top, a plus or no sign from the bottom."""
+    """Sort keys from ``+a,-b``: a minus sorts from the top, a plus or no sign from the bottom.
+
+    ``t:+a,-b`` names fields of the table with the alias ``t``.
+    """
     keys = []
-    for item in spec.split(","):
-        name = item.strip().lstrip("+-")
+    owner, mark, rest = spec.partition(":")
+    for item in (rest if mark else spec).split(","):
+        name = f"{owner.strip()}." * bool(mark) + item.strip().lstrip("+-")
         keys.append(F.col(name).desc_nulls_last() if item.strip().startswith("-") else F.col(name).asc_nulls_first())
     return keys
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,9 +14,8 @@ BREAKS = "\t\n\r.,;:!?|\"'()[]{}"
 
 def tokens(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
     """Lower-cased words between spaces and punctuation, in order."""
-    spaced = F.translate(F.lower(F.coalesce(text, F.lit(""))), BREAKS, " " * len(BREAKS))
-    found = F.filter(F.split(spaced, " "), lambda t: t != "")
-    return F.filter(found, lambda t: ~t.isin(list(stop_words))) if stop_words else found
+    found = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[ {re.escape(BREAKS)}]+"), "")
+    return reduce(F.array_remove, stop_words, found)
 
 
 def whitespace_tokens(text: Column) -> Column:

@@ -1,12 +1,25 @@
-"""Vector distances and exact top-n retrieval."""
+"""Vector distances, exact retrieval for one or many query vectors, and retrieval over an index of cells."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import scratch
+
 #: Fixed value: the score of a row that no vector search matched.
 NO_MATCH = 1000.0
+#: Rows that an index is fitted on at most, and the cells of one at most.
+SAMPLE, CELLS = 20_000, 1024
+#: Share of the nearest rows that a search over an index is to find.
+RECALL = 0.99
+#: Rows of one piece of a cell, and query rows of one block, at most: what a task holds at once.
+PIECE, BLOCK = 50_000, 1024
 
 
 def _literal(vector: list[float]) -> Column:
@@ -41,3 +54,138 @@ def nearest(
 def vector_score(matched: Column, score: Column) -> Column:
     """The score of a matched row, else the default."""
     return F.when(matched, F.coalesce(score, F.lit(NO_MATCH))).otherwise(NO_MATCH)
+
+
+@dataclass(frozen=True)
+class VectorQuery:
+    """Query vectors, each with the categories that it is limited to (none: all), the number wanted, and a threshold."""
+
+    vectors: tuple[tuple[float, ...], ...]
+    categories: tuple[tuple[str, ...], ...]
+    n: int = 10
+    within: float | None = None
+
+
+def parsed(text: str) -> VectorQuery:
+    """A query text: ``0.1,0.2;0.3,0.4&n=10&sf=0.8``, where ``16,17#0.1,0.2`` limits a vector to categories."""
+    body, *options = text.split("&")
+    vectors, categories = [], []
+    for part in filter(None, (x.strip() for x in body.split(";"))):
+        names, mark, numbers = part.rpartition("#")
+        vectors.append(tuple(float(x) for x in numbers.split(",")))
+        categories.append(tuple(x.strip() for x in names.split(",")) if mark else ())
+    if not vectors or len({len(v) for v in vectors}) > 1:
+        raise ValueError("query vectors must be there and of one length")
+    given = dict(x.split("=", 1) for x in options if x)
+    if set(given) - {"n", "sf"}:
+        raise ValueError(f"unknown options {sorted(set(given) - {'n', 'sf'})}")
+    return VectorQuery(tuple(vectors), tuple(categories), int(given.get("n", 10)), float(given["sf"]) if "sf" in given else None)
+
+
+def search(rows: DataFrame, column: str, key: str, text: str, metric: str = "l2", category: str | None = None) -> DataFrame:
+    """(query, key, score) of the best rows for each vector of a query text, in the order of the text from 0."""
+    wanted = parsed(text)
+    found = None
+    for number, (vector, names) in enumerate(zip(wanted.vectors, wanted.categories, strict=True)):
+        if names and category is None:
+            raise ValueError("the table has no category field")
+        limit = F.col(category).cast("string").isin(list(names)) if names else None
+        best = nearest(rows, column, list(vector), wanted.n, key, metric, limit, wanted.within).select(F.lit(number).alias("query"), key, "score")
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+class CellIndex:
+    """An index of cells around centroids; a search looks only into the cells nearest to a query.
+
+    Centroids are fitted by k-means on at most SAMPLE rows, those with the smallest hashes of their key, and ``probe`` is
+    the number of cells that hold RECALL of the nearest sample rows of sample rows. Every row is indexed: it is written
+    under its nearest cell, in pieces of about PIECE rows, however many a cell has.
+    """
+
+    def __init__(self, rows: DataFrame, column: str, key: str, cells: int | None = None):
+        spark = rows.sparkSession
+        self.column, self.key = column, key
+        rows = rows.where(F.col(column).isNotNull())
+        # narrowed before it is ordered, so that no task sees many more rows than the sample has
+        share = min(1.0, 2 * SAMPLE / max(1, rows.count()))
+        few = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < int(np.ceil(share * (1 << 20))))
+        sample = few.select(key, column).orderBy(F.xxhash64(key)).limit(SAMPLE).toArrow()
+        held = np.array(sample[column].to_pylist(), np.float64)
+        if not len(held):
+            raise ValueError("nothing to index")
+        self.centroids = _k_means(held, min(cells or max(1, int(len(held) ** 0.5)), CELLS))
+        self.probe = _probes(held, self.centroids)
+        self.path = scratch(spark, "vector-index")
+        spread = self._assigned(rows.select(key, column), 1)
+        counts = spread.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
+        piece = F.pmod(F.xxhash64(key), F.col("pieces")).cast("int")
+        spread.join(F.broadcast(counts), "cell").withColumn("piece", piece).repartition("cell", "piece").write.partitionBy("cell").parquet(self.path)
+        self.rows = spark.read.parquet(self.path)
+        self.counts = counts
+
+    def _assigned(self, rows: DataFrame, near: int) -> DataFrame:
+        """(key, column, cell) with each row under its ``near`` nearest cells."""
+        sent, names = rows.sparkSession.sparkContext.broadcast(self.centroids), rows.columns
+        schema = f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, cell int"
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own = np.array(batch.column(1).to_pylist(), np.float64)
+                cells = np.argsort(_distances(own, sent.value), axis=1, kind="stable")[:, :near]
+                taken = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), cells.shape[1])))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells.ravel(), pa.int32())], names=[*names, "cell"])
+
+        return rows.mapInArrow(assign, schema)
+
+    def search(self, queries: DataFrame, n: int, probe: int | None = None) -> DataFrame:
+        """(query, key, score) of the ``n`` nearest rows for each row of ``queries`` (key, column) in its nearest cells.
+
+        A task holds one piece of a cell and a block of queries; of each it hands on the best ``n`` for every query.
+        """
+        asked = self._assigned(queries.select(F.col(self.key).alias("query"), F.col(self.column).alias("vector")), probe or self.probe)
+        block = F.pmod(F.xxhash64("query"), F.lit(max(1, -(-queries.count() // BLOCK)))).cast("int")
+        asked = asked.withColumn("block", block).join(F.broadcast(self.counts), "cell").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        blocks = asked.select(*[F.col(c).alias(c) for c in ("cell", "piece", "block")]).distinct()
+        held = self.rows.join(blocks, ["cell", "piece"]).select("cell", "piece", "block", self.key, self.column)
+        key, column = self.key, self.column
+
+        def best(left: pa.Table, right: pa.Table) -> pa.Table:
+            scores = _distances(np.array(right["vector"].to_pylist(), np.float64).reshape(right.num_rows, -1), np.array(left[column].to_pylist(), np.float64).reshape(left.num_rows, -1)) if left.num_rows and right.num_rows else np.empty((right.num_rows, 0))
+            order = np.argsort(scores, axis=1, kind="stable")[:, :n]
+            number = np.repeat(np.arange(right.num_rows), order.shape[1])
+            return pa.table({"query": right["query"].take(pa.array(number)), key: left[key].take(pa.array(order.ravel())), "score": pa.array(np.take_along_axis(scores, order, 1).ravel())})
+
+        kind = dict(self.rows.dtypes)[key]
+        found = held.groupBy("cell", "piece", "block").cogroup(asked.groupBy("cell", "piece", "block")).applyInArrow(best, f"query {kind}, `{key}` {kind}, score double")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("score", key))
+        return found.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of two blocks by one matrix product."""
+    return np.maximum((a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1), 0)
+
+
+def _probes(rows: np.ndarray, centroids: np.ndarray, asked: int = 200, near: int = 10) -> int:
+    """Cells that must be looked into for RECALL of the ``near`` nearest rows of some of the rows."""
+    own = _distances(rows, centroids).argmin(axis=1)
+    some = rows[:asked]
+    order = np.argsort(_distances(some, centroids), axis=1)
+    place = np.argsort(order, axis=1)  # of each cell in the order of a query
+    best = np.argsort(_distances(some, rows), axis=1)[:, :near]
+    return int(np.quantile(np.take_along_axis(place, own[best], 1), RECALL, method="higher")) + 1
+
+
+def _k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    rng = np.random.default_rng(3)
+    centroids = rows[rng.choice(len(rows), k, replace=False)]
+    for _ in range(rounds):
+        own = _distances(rows, centroids).argmin(axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, rows)
+        n = np.bincount(own, minlength=k)
+        centroids = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centroids)
+    return centroids

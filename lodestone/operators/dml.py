@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ADD, UPDATE, DELETE = "add", "update_field", "delete"
@@ -33,12 +33,11 @@ def applied(rows: DataFrame, commands: DataFrame, key: str, order: str, command:
 
     An add replaces the row, an update sets the fields that it holds (nulls are not held) and does nothing without a
     row, a delete removes it. Only commands since the last add or delete of a key matter, and updates fold by the last
-    value of each field, so this is one aggregate and one join however many commands a key has.
+    value of each field: two aggregates, which combine before they shuffle, and two joins, however many commands a key has.
     """
     fields = [c for c in rows.columns if c != key]
-    own = Window.partitionBy(key)
-    base_at = F.max(F.when(F.col(command) != UPDATE, F.col(order))).over(own)
-    live = commands.withColumn("__base", base_at).where(F.col("__base").isNull() | (F.col(order) >= F.col("__base")))
+    bases = commands.where(F.col(command) != UPDATE).groupBy(F.col(key).alias("__key")).agg(F.max(order).alias("__base"))
+    live = commands.join(bases, F.col(key) == F.col("__key"), "left").where(F.col("__base").isNull() | (F.col(order) >= F.col("__base")))
     folded = live.groupBy(key).agg(
         F.max_by(command, order).alias("__last"),
         F.min_by(command, order).alias("__first"),
@@ -49,3 +48,9 @@ def applied(rows: DataFrame, commands: DataFrame, key: str, order: str, command:
     replaced = F.coalesce(F.col("__first") == ADD, F.lit(False))
     values = [F.when(replaced, F.col(f"__{f}")).otherwise(F.coalesce(F.col(f"__{f}"), F.col(f))).cast(rows.schema[f].dataType).alias(f) for f in fields]
     return met.where(exists).select(key, *values).select(rows.columns)
+
+
+def applied_to(path: str, rows: DataFrame, commands: DataFrame, key: str, order: str, command: str = "cmd") -> DataFrame:
+    """Write ``rows`` after ``commands`` as the table at ``path``, which mustn't be where ``rows`` are read from."""
+    applied(rows, commands, key, order, command).write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

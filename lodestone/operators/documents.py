@@ -25,8 +25,9 @@ def in_hash_range(hashed: Column, low: int, high: int, payload_mask: Column | No
     return own if payload_mask is None else own & (payload_mask.bitwiseAND(F.lit(mask)) == result)
 
 
-def topic_hash(key: Column, width: int = 65536) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(width)).cast("int")
+def topic_hash(*keys: Column, width: int = 65536) -> Column:
+    """The place of a key, or of several together, among ``width``; the order of keys counts."""
+    return F.pmod(F.xxhash64(*keys), F.lit(width)).cast("int")
 
 
 def copied(rows: DataFrame, fields: dict[str, str]) -> DataFrame:

@@ -25,13 +25,23 @@ def left_join_with_defaults(left: DataFrame, right: DataFrame, key: str, default
 
 
 def lookup_join(probe: DataFrame, build: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Point lookups of the probe's keys in a build table.
+    """Point lookups of the probe's keys in a build table: one join, which the adaptive planner turns into a broadcast
+    of whichever side is small, or prunes the larger by a runtime filter on the keys."""
+    return probe.join(build, key, how)
 
-    The build side is first reduced to the keys that are asked for, so what is joined follows the probe. The adaptive
-    planner broadcasts the reduced side if it turns out small.
+
+def not_in(left: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:
+    """``column NOT IN (SELECT value FROM values)`` with SQL's nulls: a null among the values leaves nothing, and a null
+    on the left stays only if there are no values.
+
+    The values are looked through once for a null; the join itself is a plain anti join, which needs no broadcast.
     """
-    asked = build.join(probe.select(key).distinct(), key, "left_semi")
-    return probe.join(asked, key, how)
+    seen = values.agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("known")).first()
+    if not seen["n"]:
+        return left
+    if seen["known"] < seen["n"]:
+        return left.limit(0)
+    return left.where(F.col(column).isNotNull()).join(values.select(F.col(value).alias("__value")).distinct(), F.col(column) == F.col("__value"), "left_anti")
 
 
 def multicast_join(left: DataFrame, array: str, right: DataFrame, right_key: str) -> DataFrame:
@@ -41,12 +51,17 @@ def multicast_join(left: DataFrame, array: str, right: DataFrame, right_key: str
 
 
 def left_multi_join(left: DataFrame, key: str, array: str, right: DataFrame, right_key: str, value: str, out: str) -> DataFrame:
-    """Look up every element of an array and gather the found values in the order of the elements; misses are null."""
-    elements = left.select(key, F.posexplode_outer(array).alias("__at", "__element"))
+    """Look up every element of an array and gather the found values in the order of the elements; misses are null.
+
+    Rows are told apart by key and array, so a key may repeat with other arrays.
+    """
+    rows = left.select(key, F.col(array).alias("__own")).distinct()
+    elements = rows.select(key, "__own", F.posexplode_outer("__own").alias("__at", "__element"))
     found = elements.join(right.select(F.col(right_key).alias("__element"), F.col(value).alias("__value")), "__element", "left")
     held = F.collect_list(F.when(F.col("__at").isNotNull(), F.struct("__at", "__value")))
-    gathered = found.groupBy(key).agg(F.transform(F.sort_array(held), lambda x: x["__value"]).alias(out))
-    return left.join(gathered, key, "left")
+    gathered = found.groupBy(key, "__own").agg(F.transform(F.sort_array(held), lambda x: x["__value"]).alias(out))
+    gathered = gathered.withColumnRenamed(key, "__key")
+    return left.join(gathered, F.col(key).eqNullSafe(F.col("__key")) & F.col(array).eqNullSafe(F.col("__own")), "left").drop("__key", "__own")
 
 
 def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:

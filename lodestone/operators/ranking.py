@@ -21,6 +21,13 @@ def sort_rows(rows: DataFrame, order: str, n: int, offset: int = 0) -> DataFrame
     return rows.orderBy(*sort_keys(order)).offset(offset).limit(n) if offset else rows.orderBy(*sort_keys(order)).limit(n)
 
 
+def ordered(rows: DataFrame, order: str, n: int | None = None, offset: int = 0) -> DataFrame:
+    """``sort_rows`` for a client's order: one without a limit is refused, since it would sort the whole table."""
+    if n is None:
+        raise ValueError("an order needs a limit")
+    return sort_rows(rows, order, n, offset)
+
+
 def mark_top(rows: DataFrame, order: str, n: int, key: str, out: str = "topKMark") -> DataFrame:
     """All rows, with a mark on the first ``n``.
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import scratch
+
 
 def unpack_multi_value(rows: DataFrame, *fields: str) -> DataFrame:
     """One row for each element of each named array; an empty or null array keeps its row with a null."""
@@ -81,6 +83,29 @@ def aggregation_table(rows: DataFrame, keys: list[str], measures: dict[str, Colu
     return rows.groupBy(*keys).agg(*[m.alias(n) for n, m in measures.items()])
 
 
+class AggregationTable:
+    """An aggregate of a table that is computed once, written in the order of its keys, and asked by key."""
+
+    def __init__(self, rows: DataFrame, keys: list[str], measures: dict[str, Column]):
+        self.keys, self.measures = keys, list(measures)
+        path = scratch(rows.sparkSession, "aggregation")
+        found = aggregation_table(rows, keys, measures)
+        found.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
+        self.rows = rows.sparkSession.read.schema(found.schema).parquet(path)
+
+    def answer(self, equal: dict, ranged: dict[str, tuple] | None = None, needed: list[str] | None = None) -> DataFrame:
+        """Rows with the keys in ``equal`` and measures within ``ranged`` (low, high); refused if they don't cover it."""
+        ranged, needed = ranged or {}, needed or [*self.keys, *self.measures]
+        if not covers(set(self.keys), set(self.measures), set(equal), set(ranged), set(needed)):
+            raise ValueError("the aggregation table doesn't cover the query")
+        found = self.rows
+        for name, value in equal.items():
+            found = found.where(F.col(name) == value)
+        for name, (low, high) in ranged.items():
+            found = found.where(F.col(name).between(low, high))
+        return found.select(*needed)
+
+
 def covers(keys: set[str], values: set[str], equal: set[str], ranged: set[str], needed: set[str]) -> bool:
     """Whether an aggregation table answers a query: equalities on all its keys, ranges on values, every field held."""
     return equal == keys and ranged <= values and needed <= keys | values

@@ -58,7 +58,14 @@ _NOT_IN = "SELECT p_partkey FROM {part} WHERE p_size NOT IN (SELECT CAST(s_suppk
 
 @book.add(_NOT_IN.format(part="part", supplier="supplier"))
 def not_in_subquery(spark, sf):
-    return spark.sql(_NOT_IN, part=table(spark, sf, "part"), supplier=table(spark, sf, "supplier"))
+    few = table(spark, sf, "supplier").where("s_suppkey < 40").select(F.col("s_suppkey").cast("int").alias("size"))
+    return joins.not_in(table(spark, sf, "part"), "p_size", few, "size").select("p_partkey")
+
+
+@book.add("SELECT r_regionkey FROM region WHERE r_regionkey NOT IN (SELECT CASE WHEN n_nationkey = 3 THEN NULL ELSE n_regionkey END FROM nation)")
+def not_in_with_a_null(spark, sf):
+    values = table(spark, sf, "nation").select(F.when(F.col("n_nationkey") != 3, F.col("n_regionkey")).alias("v"))
+    return joins.not_in(table(spark, sf, "region"), "r_regionkey", values, "v").select("r_regionkey")
 
 
 @book.add("SELECT r_name, n_name FROM region, nation WHERE r_regionkey < 2 AND n_regionkey >= 3")
@@ -79,19 +86,19 @@ def lookup_join(spark, sf):
     return joins.lookup_join(probe, table(spark, sf, "part"), "p_partkey").select("l_orderkey", "l_linenumber", "p_name")
 
 
-@book.add("SELECT o_orderkey, s_suppkey FROM (SELECT o_orderkey, [o_custkey % 100, o_orderkey % 100, 7] AS m FROM orders WHERE o_orderkey % 50 = 1) JOIN supplier ON list_contains(m, s_suppkey)")
+@book.add("SELECT o_orderkey, s_suppkey FROM (SELECT o_orderkey, [o_custkey % 100, o_orderkey % 100, 7] AS m FROM orders) JOIN supplier ON list_contains(m, s_suppkey)")
 def multicast_join(spark, sf):
-    rows = table(spark, sf, "orders").where("o_orderkey % 50 = 1").select("o_orderkey", F.array(F.col("o_custkey") % 100, F.col("o_orderkey") % 100, F.lit(7).cast("long")).alias("m"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.array(F.col("o_custkey") % 100, F.col("o_orderkey") % 100, F.lit(7).cast("long")).alias("m"))
     return joins.multicast_join(rows, "m", table(spark, sf, "supplier"), "s_suppkey").select("o_orderkey", "s_suppkey")
 
 
 @book.add(
-    "WITH o AS (SELECT o_orderkey, [o_custkey % 150, o_orderkey % 150] AS m FROM orders WHERE o_orderkey % 40 = 3), "
+    "WITH o AS (SELECT o_orderkey, [o_custkey % 150, o_orderkey % 150] AS m FROM orders), "
     "e AS (SELECT o_orderkey, m, unnest(m) AS k, generate_subscripts(m, 1) AS pos FROM o) "
     "SELECT o_orderkey, list(s_name ORDER BY pos) AS names FROM e LEFT JOIN supplier ON k = s_suppkey GROUP BY o_orderkey"
 )
 def left_multi_join(spark, sf):
-    rows = table(spark, sf, "orders").where("o_orderkey % 40 = 3").select("o_orderkey", F.array(F.col("o_custkey") % 150, F.col("o_orderkey") % 150).alias("m"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.array(F.col("o_custkey") % 150, F.col("o_orderkey") % 150).alias("m"))
     return joins.left_multi_join(rows, "o_orderkey", "m", table(spark, sf, "supplier"), "s_suppkey", "s_name", "names").select("o_orderkey", "names")
 
 

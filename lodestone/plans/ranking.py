@@ -115,25 +115,25 @@ def summary_lookup(spark, sf):
     return tables.key_lookup(table(spark, sf, "documents"), "doc_id", [7, 77, 777]).select("doc_id", "source", "n_chars", "lang")
 
 
-@book.add("SELECT o_orderkey, o_custkey, l_linenumber, l_quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 20 = 1")
+@book.add("SELECT o_orderkey, o_custkey, l_linenumber, l_quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
 def unnest_outer(spark, sf):
     return tables.unnest(_orders_with_lines(spark, sf), "lines", outer=True).select("o_orderkey", "o_custkey", "l_linenumber", "l_quantity")
 
 
-@book.add("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 20 = 1 AND l_quantity > 25")
+@book.add("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 25")
 def unnest_filtered(spark, sf):
     return tables.unnest(_orders_with_lines(spark, sf), "lines").where("l_quantity > 25").select("o_orderkey", "l_linenumber")
 
 
 def _orders_with_lines(spark, sf):
-    orders = table(spark, sf, "orders").where("o_orderkey % 20 = 1").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf, "lineitem").where("l_orderkey % 20 = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity", "l_returnflag")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity", "l_returnflag")
     return tables.nested(orders, lines, "o_orderkey", "lines", ["l_linenumber", "l_quantity"])
 
 
 @book.add(
     "SELECT l_orderkey AS o_orderkey, count(*) AS n, sum(l_quantity) AS total, min(l_quantity) AS least, max(l_quantity) AS most, "
-    "arg_min(l_quantity, (l_linenumber, l_quantity)) AS first, string_agg(l_returnflag, '+' ORDER BY l_linenumber, l_quantity, l_returnflag) AS flags FROM lineitem WHERE l_orderkey % 20 = 1 AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1"
+    "arg_min(l_quantity, (l_linenumber, l_quantity)) AS first, string_agg(l_returnflag, '+' ORDER BY l_linenumber, l_quantity, l_returnflag) AS flags FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1"
 )
 def sub_functions(spark, sf):
     lines = F.col("lines")
@@ -151,8 +151,8 @@ def sub_functions(spark, sf):
 @book.add("SELECT l_suppkey, count(*) AS n, sum(CAST(l_quantity AS DECIMAL(18,2))) AS quantity FROM lineitem WHERE l_suppkey = 42 AND l_returnflag = 'R' GROUP BY l_suppkey")
 def aggregation_index(spark, sf):
     measures = {"n": F.count(F.lit(1)), "quantity": F.sum(F.col("l_quantity").cast("decimal(18,2)"))}
-    index = tables.aggregation_table(table(spark, sf, "lineitem"), ["l_suppkey", "l_returnflag"], measures)
-    return index.where("l_suppkey = 42 AND l_returnflag = 'R'").select("l_suppkey", "n", "quantity")
+    index = tables.AggregationTable(table(spark, sf, "lineitem"), ["l_suppkey", "l_returnflag"], measures)
+    return index.answer({"l_suppkey": 42, "l_returnflag": "R"}, needed=["l_suppkey", "n", "quantity"])
 
 
 QUERIES, ORACLE = book.queries, book.oracle

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalar
@@ -91,12 +92,38 @@ def distinct_aggregate(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"))
 
 
-@book.add()
+@book.add(
+    "SELECT event_type, count(DISTINCT user_id) AS exact, true AS close FROM events GROUP BY 1 UNION ALL SELECT 'all', count(DISTINCT user_id), true FROM events"
+)
 def approximate_distinct(spark, sf):
-    """Estimates from sketches that are merged by group and overall, beside the exact count."""
+    """Sketches by group, and merged over all groups; ``close`` tells that an estimate is within a twentieth of the count."""
     events = table(spark, sf, "events")
-    kept = events.groupBy("event_type").agg(F.hll_sketch_agg("user_id").alias("sketch"), F.countDistinct("user_id").alias("exact"))
-    return kept.select("event_type", F.hll_sketch_estimate("sketch").alias("estimate"), "exact")
+    groups = events.groupBy("event_type").agg(F.hll_sketch_agg("user_id", 12).alias("sketch"))
+    merged = groups.agg(F.hll_union_agg("sketch").alias("sketch")).select(F.lit("all").alias("event_type"), "sketch")
+    exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("exact"))
+    exact = exact.unionByName(events.agg(F.countDistinct("user_id").alias("exact")).withColumn("event_type", F.lit("all")))
+    both = groups.unionByName(merged).join(exact, "event_type")
+    return both.select("event_type", "exact", (F.abs(F.hll_sketch_estimate("sketch") - F.col("exact")) <= F.col("exact") / 20).alias("close"))
+
+
+@book.add(
+    "SELECT o_orderkey, count(*) OVER w AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER w AS running, max(o_orderpriority) OVER (PARTITION BY o_custkey) AS highest "
+    "FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
+)
+def over_aggregates(spark, sf):
+    own = Window.partitionBy("o_custkey")
+    so_far = own.orderBy("o_orderdate", "o_orderkey")
+    return table(spark, sf, "orders").select(
+        "o_orderkey", F.count(F.lit(1)).over(so_far).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).over(so_far).alias("running"), F.max("o_orderpriority").over(own).alias("highest")
+    )
+
+
+_MIXED = "SELECT c_nationkey AS nation FROM {customer} WHERE c_acctbal < 0 UNION SELECT s_nationkey FROM {supplier} UNION ALL SELECT n_nationkey FROM {nation}"
+
+
+@book.add(_MIXED.format(customer="customer", supplier="supplier", nation="nation"))
+def union_mixed(spark, sf):
+    return spark.sql(_MIXED, customer=table(spark, sf, "customer"), supplier=table(spark, sf, "supplier"), nation=table(spark, sf, "nation"))
 
 
 @book.add("SELECT c_custkey AS id, 'customer' AS kind FROM customer WHERE c_acctbal < 0 UNION ALL SELECT s_suppkey, 'supplier' FROM supplier WHERE s_acctbal < 0")

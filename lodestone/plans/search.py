@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import relevance, scalar, text, vector
+from lodestone.functions import query, relevance, scalar, text, vector
 from lodestone.session import table
 
 from .base import Book
@@ -103,18 +103,54 @@ _TFIDF = " + ".join(f"ln(n / df{i}) * {tf}" for i, tf in enumerate(_TF))
 
 @book.add(f"{_STATS} SELECT doc_id, round({_BM25}, 6) AS score FROM d, s WHERE {_ANY}")
 def bm25(spark, sf):
-    return relevance.with_bm25(_words(spark, sf), "w", TERMS).select("doc_id", F.round("score", 6).alias("score"))
+    return relevance.scored(_words(spark, sf), "w", TERMS, "bm25").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @book.add(f"{_STATS} SELECT doc_id, round({_BM25}, 6) AS score FROM d, s WHERE {_ANY} ORDER BY {_BM25} DESC, doc_id LIMIT 10")
 def bm25_top10(spark, sf):
-    found = relevance.with_bm25(_words(spark, sf), "w", TERMS).orderBy(F.desc("score"), "doc_id").limit(10)
+    found = relevance.scored(_words(spark, sf), "w", TERMS, "bm25").orderBy(F.desc("score"), "doc_id").limit(10)
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @book.add(f"{_STATS} SELECT doc_id, round({_TFIDF}, 6) AS score FROM d, s WHERE {_ANY}")
 def tfidf(spark, sf):
-    return relevance.with_tfidf(_words(spark, sf), "w", TERMS).select("doc_id", F.round("score", 6).alias("score"))
+    return relevance.scored(_words(spark, sf), "w", TERMS, "tfidf").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@book.add(f"WITH {_D} SELECT doc_id, ({' + '.join(_TF)})::DOUBLE AS score FROM d WHERE {_ANY}")
+def named_scorer(spark, sf):
+    return relevance.scored(_words(spark, sf), "w", TERMS, "term_count").select("doc_id", "score")
+
+
+def _fields():
+    return {"body": query.words_field(F.col("w")), "lang": query.value_field(F.col("lang")), "size": query.value_field(F.col("n_chars"))}
+
+
+@book.add(f"WITH {_D} SELECT doc_id FROM d WHERE list_contains(w, 'thing') OR (list_contains(w, 'the') AND list_contains(w, 'on') AND NOT list_contains(w, 'ti'))")
+def query_text_precedence(spark, sf):
+    """ANDNOT before AND before OR."""
+    return _words(spark, sf, "lang", "n_chars").where(query.matches("thing OR the AND on ANDNOT ti", _fields(), "body")).select("doc_id")
+
+
+@book.add(f"WITH {_D} SELECT doc_id FROM d WHERE (list_contains(w, 'the') OR contains(' ' || array_to_string(w, ' ') || ' ', ' de la ')) AND lang IN ('en', 'fr') AND n_chars >= 200 AND n_chars < 900")
+def query_text_scope(spark, sf):
+    held = query.matches("(body:the OR body:\"de la\") AND lang:(en OR fr) AND size:[200,900)", _fields())
+    return _words(spark, sf, "lang", "n_chars").where(held).select("doc_id")
+
+
+@book.add(f"WITH {_D} SELECT doc_id FROM d WHERE n_chars > 100 AND n_chars <= 2000 AND NOT lang = 'de'")
+def query_text_ranges(spark, sf):
+    return _words(spark, sf, "lang", "n_chars").where(query.matches("size:(100,) AND size:[,2000] ANDNOT lang:de RANK body:the", _fields())).select("doc_id")
+
+
+@book.add(f"WITH {_D} SELECT doc_id FROM d WHERE (list_contains(w, 'the') OR lang = 'fr') AND list_contains(w, 'on') AND NOT n_chars <= 300")
+def sp_query_match(spark, sf):
+    return _words(spark, sf, "lang", "n_chars").where(query.sp_matches("(+(body:the|lang:fr)+body:on)!size:[,300]", _fields())).select("doc_id")
+
+
+@book.add(f"WITH {_D} SELECT doc_id FROM d WHERE list_contains(w, 'the') AND list_contains(w, 'thing')")
+def match_index(spark, sf):
+    return _words(spark, sf, "lang", "n_chars").where(query.match_index("body", "the thing", _fields())).select("doc_id")
 
 
 PROBE = [((i * 37) % 19 - 9) / 10 for i in range(64)]
@@ -140,6 +176,48 @@ def vector_score(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(score, 6).alias("score"))
 
 
+_MANY = [[((i * (37 + k)) % 19 - 9) / 10 for i in range(64)] for k in range(3)]
+
+
+def _l2(vector):
+    return f"list_sum(list_transform(list_zip(embedding, [{', '.join(f'{x}::DOUBLE' for x in vector)}]), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2])))"
+
+
+@book.add(" UNION ALL ".join(
+    f"(SELECT {k} AS query, vec_id, round({_l2(v)}, 6) AS score FROM embeddings WHERE {'label IN (2, 5) AND ' if k == 1 else ''}{_l2(v)} <= 24 ORDER BY {_l2(v)}, vec_id LIMIT 7)" for k, v in enumerate(_MANY)
+))
+def vector_query_text(spark, sf):
+    """Several vectors in one text, one of them limited to categories, with a number and a threshold."""
+    parts = ["2,5#" * (k == 1) + ",".join(map(str, v)) for k, v in enumerate(_MANY)]
+    found = vector.search(table(spark, sf, "embeddings"), "embedding", "vec_id", ";".join(parts) + "&n=7&sf=24", category="label")
+    return found.select("query", "vec_id", F.round("score", 6).alias("score"))
+
+
+_PAIR = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: (p[1]::DOUBLE - p[2]) * (p[1]::DOUBLE - p[2])))"
+
+
+@book.add(
+    f"SELECT q.vec_id AS query, e.vec_id, round({_PAIR}, 4) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 "
+    f"QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_PAIR}, e.vec_id) <= 5"
+)
+def vector_search_exact(spark, sf):
+    """The five nearest rows of every row whose id is divisible by 100: an index of one cell looks at all rows."""
+    rows = table(spark, sf, "embeddings")
+    found = vector.CellIndex(rows, "embedding", "vec_id", 1).search(rows.where("vec_id % 100 = 0"), 5, 1)
+    return found.select("query", "vec_id", F.round("score", 4).alias("score"))
+
+
+@book.add("SELECT count(*) AS queries, true AS recalled FROM embeddings WHERE vec_id % 100 = 0")
+def vector_search_index(spark, sf):
+    """The same through the cells nearest to each query; ``recalled`` tells that nine in ten of the exact rows were found."""
+    rows = table(spark, sf, "embeddings")
+    asked = rows.where("vec_id % 100 = 0")
+    exact = vector.CellIndex(rows, "embedding", "vec_id", 1).search(asked, 5, 1).select("query", "vec_id")
+    found = vector.CellIndex(rows, "embedding", "vec_id").search(asked, 5).select("query", "vec_id", F.lit(1).alias("found"))
+    counts = exact.join(found, ["query", "vec_id"], "left").agg(F.countDistinct("query").alias("queries"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recalled"))
+    return counts
+
+
 _LON, _LAT = "(c_custkey * 37 % 3600 / 10.0 - 180)", "(c_custkey * 91 % 1700 / 10.0 - 85)"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import registry, scalar
-from lodestone.operators import documents, tables
+from lodestone.operators import documents, table_functions, tables
 from lodestone.session import scratch, table
 from lodestone.sources import catalog, files
 
@@ -22,8 +22,7 @@ def registered_udf(spark, sf):
 
 @book.add("SELECT s_nationkey, round(max(s_acctbal) - min(s_acctbal), 4) AS width FROM supplier GROUP BY 1")
 def registered_udaf(spark, sf):
-    registry.register(spark)
-    return spark.sql("SELECT s_nationkey, round(spread(s_acctbal), 4) AS width FROM {supplier} GROUP BY 1", supplier=table(spark, sf, "supplier"))
+    return table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.round(registry.aggregate("spread", "s_acctbal"), 4).alias("width"))
 
 
 @book.add("SELECT n_nationkey, 'name' AS name, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'region', CAST(n_regionkey AS VARCHAR) FROM nation")
@@ -66,14 +65,42 @@ def hash_ranges(spark, sf):
     return low.unionByName(high).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@book.add("SELECT p_partkey, p_brand || '/' || p_type AS label FROM part WHERE p_partkey <= 50")
+@book.add("SELECT p_partkey, p_brand || '/' || p_type AS label FROM part")
 def encrypted_feed(spark, sf):
-    """Rows that went through an encrypted column and back."""
-    key = F.lit("0123456789abcdef").cast("binary")
-    rows = table(spark, sf, "part").where("p_partkey <= 50").select("p_partkey", F.aes_encrypt(scalar.strcat(F.col("p_brand"), "/", F.col("p_type")).cast("binary"), key).alias("secret"))
-    path = scratch(spark, "secret")
-    rows.write.parquet(path)
-    return spark.read.parquet(path).select("p_partkey", F.aes_decrypt("secret", key).cast("string").alias("label"))
+    """Lines of a feed through encrypted blocks and back."""
+    return _through_blocks(spark, sf, False)
+
+
+@book.add("SELECT p_partkey, p_brand || '/' || p_type AS label FROM part")
+def encrypted_compressed_feed(spark, sf):
+    return _through_blocks(spark, sf, True)
+
+
+def _through_blocks(spark, sf, compress):
+    key, path = "0123456789abcdef", scratch(spark, "secret")
+    lines = table(spark, sf, "part").select(scalar.strcat(F.col("p_partkey").cast("string"), "\t", F.col("p_brand"), "/", F.col("p_type")).alias("line"))
+    files.write_encrypted(lines, path, "line", key, compress)
+    parts = F.split("line", "\t")
+    return files.read_encrypted(spark, path, key).select(parts[0].cast("long").alias("p_partkey"), parts[1].alias("label"))
+
+
+@book.add("SELECT n_nationkey, to_json({n_nationkey: n_nationkey, n_name: n_name, r_name: r_name})::VARCHAR AS value FROM (SELECT n_nationkey, n_name, r_name FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) ON n_regionkey = r_regionkey)")
+def json_result(spark, sf):
+    region = table(spark, sf, "region").where("r_regionkey != 2")
+    rows = table(spark, sf, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left").select("n_nationkey", "n_name", "r_name")
+    return catalog.formatted(rows, "json").select(F.get_json_object("value", "$.n_nationkey").cast("int").alias("n_nationkey"), "value")
+
+
+@book.add("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) <= 1")
+def named_table_functions(spark, sf):
+    rows = table_functions.call("tableMetricTvf", table(spark, sf, "orders"), "orders")
+    rows = table_functions.call("identityTvf", rows)
+    return table_functions.call("rankTvf", rows, "o_custkey", "+o_totalprice,+o_orderkey", 1).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@book.add("SELECT count(*) AS n FROM events WHERE epoch(ts) < epoch(now())")
+def current_time(spark, sf):
+    return table(spark, sf, "events").where(F.unix_timestamp("ts") < scalar.current_time_in_seconds()).agg(F.count(F.lit(1)).alias("n"))
 
 
 @book.add("SELECT p_partkey, p_size FROM part WHERE p_size < 5 UNION ALL SELECT p_partkey, p_size FROM part WHERE p_size > 45")

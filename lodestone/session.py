@@ -53,6 +53,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths that ``scratch`` has given out and that haven't been removed.
+_given: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder. What is written there stays until ``clear_scratch`` is called."""
+    path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession, keep: tuple[str, ...] = ()) -> None:
+    """Remove all tables that operators wrote below the shared folder in this process, but for the paths in ``keep``.
+
+    Results that are read lazily from them must have been written elsewhere before.
+    """
+    held = [path for path in _given if path in keep]
+    for path in _given:
+        if path not in held:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _given[:] = held

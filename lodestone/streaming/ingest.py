@@ -33,24 +33,44 @@ def windowed_counts(stream: DataFrame, stamp: str, key: str, length: str, slide:
 
 
 def upserted(spark: SparkSession, commands: DataFrame, base: DataFrame, key: str, order: str) -> DataFrame:
-    """The table after a stream of commands, micro-batch by micro-batch; each batch writes a new version.
+    """The table after a stream of commands, micro-batch by micro-batch; each batch writes a new version."""
+    table = VersionedTable(spark, scratch(spark, "versions"), base)
+    query = commands.writeStream.foreachBatch(lambda batch, number: table.apply(batch, number, key, order)).option("checkpointLocation", scratch(spark, "upsert-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return table.read()
+
+
+class VersionedTable:
+    """A table at ``root`` with a folder for each version; version n is what batch n - 1 of a stream left.
 
-    A batch that is repeated after a failure writes its version again, so commands are applied exactly once.
+    A batch always starts from the last version before its own, as the folders tell, and overwrites its own. So a batch
+    that is repeated, by this driver or by one that starts again with the stream's checkpoint, gives the same version,
+    and each command is applied exactly once. A version without the writer's mark of success doesn't count.
     """
-    root, state = scratch(spark, "versions"), scratch(spark, "upsert-state")
-    schema = base.schema
-    base.write.parquet(f"{root}/version=start")
-    seen = {"last": f"{root}/version=start"}
-
-    def apply(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        version = f"{root}/version={number}"
-        dml.applied(session.read.schema(schema).parquet(seen["last"]), batch, key, order).write.mode("overwrite").parquet(version)
-        seen["last"] = version
-
-    query = commands.writeStream.foreachBatch(apply).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(seen["last"])
+
+    def __init__(self, spark: SparkSession, root: str, base: DataFrame):
+        self.spark, self.root, self.schema = spark, root, base.schema
+        if not self.versions():
+            base.write.mode("overwrite").parquet(self._path(0))
+
+    def _path(self, version: int) -> str:
+        return f"{self.root}/version-{version:020d}"
+
+    def versions(self) -> list[int]:
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        store = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = store.listStatus(root) if store.exists(root) else []
+        paths = [x.getPath() for x in found if x.getPath().getName().startswith("version-")]
+        return sorted(int(p.getName()[8:]) for p in paths if store.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def apply(self, batch: DataFrame, number: int, key: str, order: str) -> None:
+        before = max(v for v in self.versions() if v <= number)
+        rows = batch.sparkSession.read.schema(self.schema).parquet(self._path(before))
+        dml.applied(rows, batch, key, order).write.mode("overwrite").parquet(self._path(number + 1))
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self._path(self.versions()[-1]))
 
 
 def wait_until_fresh(query: StreamingQuery, target: str | None = None, seconds: float = 30.0) -> bool:

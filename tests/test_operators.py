@@ -1,10 +1,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import relevance, scalar, text, vector
-from lodestone.operators import dml, documents, joins, ranking, tables
-from lodestone.session import scratch
-from lodestone.sources import files
+from lodestone.functions import query, registry, relevance, scalar, text, vector
+from lodestone.operators import dml, documents, joins, ranking, table_functions, tables
+from lodestone.session import clear_scratch, scratch
+from lodestone.sources import catalog, external, files
+from lodestone.streaming import ingest
 
 PHONES = ["huawei:4599", "xiaomi:2999:red", "oppo:3799", "apple:", "samsung", ":6999", ":", ""]
 
@@ -122,3 +123,196 @@ def test_feeds_and_records(spark, tmp_path):
     assert got[1]["s"] == "a=b" and got[1]["m"] == ["x", "y"] and got[2]["s"] is None and got[1]["CMD"] == "add"
     (tmp_path / "f").write_bytes(b"aabbccd")
     assert [bytes(r["record"]) for r in files.read_fixed_records(spark, str(tmp_path), 2).orderBy("at").collect()] == [b"aa", b"bb", b"cc"]
+
+
+def test_query_texts(spark):
+    rows = spark.createDataFrame([(1, "The red cat", 5, "en"), (2, "red and blue", 15, "fr"), (3, "blue cat", 25, "en"), (4, "dog", None, "de")], "id int, t string, n int, lang string").withColumn("w", text.tokens(F.col("t")))
+    fields = {"t": query.words_field(F.col("w")), "n": query.value_field(F.col("n")), "lang": query.value_field(F.col("lang")), "attr2": query.value_field(F.col("n")), "name": query.words_field(F.col("w")), "index_2": query.words_field(F.col("w"))}
+    ids = lambda c: sorted(r["id"] for r in rows.where(c).collect())
+    words = lambda q, default="t": ids(query.matches(q, fields, default))
+    signs = lambda q, default="t": ids(query.sp_matches(q, fields, default))
+    assert words("red OR blue AND cat") == [1, 2, 3] and words("(red OR blue) AND cat") == [1, 3]
+    assert words("red AND cat ANDNOT the") == [] and words("cat ANDNOT red") == [3]
+    assert words('"red cat" OR t:dog') == [1, 4] and words("cat RANK dog") == [1, 3]
+    assert words("n:[5,15]") == [1, 2] and words("n:(5,25)") == [2] and words("n:(5,)") == [2, 3] and words("lang:(en OR de) AND n:[,5]") == [1]
+    assert signs("red|blue+cat") == [1, 2, 3] and signs("+red+cat+") == [1] and signs("cat!red") == [3] and signs("red#dog") == [1, 2, 4]
+    assert signs("(+(attr2:15|name:cat)+index_2:blue)", None) == [2, 3]
+    assert ids(query.match_index("t", "blue cat", fields)) == [3] and ids(query.match_index("t", "red dog", fields, any_of=True)) == [1, 2, 4]
+    for bad in ("123456", "", "(red", "red)", "zz:red", "red AND", "AND red", "t:"):
+        with pytest.raises(ValueError):
+            query.matches(bad, fields)
+        with pytest.raises(ValueError):
+            query.sp_matches(bad, fields)
+    with pytest.raises(ValueError):
+        query.match_index("zz", "red", fields)
+
+
+def test_scorers_by_name(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"])], "id int, w array<string>")
+    assert [(r["id"], r["score"]) for r in relevance.scored(docs, "w", ["a", "b"], "term_count").collect()] == [(1, 3.0)]
+    relevance.SCORERS["length"] = lambda known: F.col("__length").cast("double")
+    assert relevance.scored(docs, "w", ["c"], "length").first()["score"] == 1.0
+    del relevance.SCORERS["length"]
+    with pytest.raises(ValueError):
+        relevance.scored(docs, "w", ["c"], "length")
+
+
+def test_vector_texts_and_index(spark):
+    wanted = vector.parsed("16,17#0.5,1;0,-2&n=3&sf=0.8")
+    assert wanted == vector.VectorQuery(((0.5, 1.0), (0.0, -2.0)), (("16", "17"), ()), 3, 0.8)
+    for bad in ("", "1,2;3", "1,2&k=4"):
+        with pytest.raises(ValueError):
+            vector.parsed(bad)
+    import random
+
+    rng = random.Random(1)
+    data = [(i, [rng.gauss(c, 1) for c in ((i % 7) * 9, (i % 5) * 11, i % 3)]) for i in range(3000)]
+    rows = spark.createDataFrame(data, "id int, v array<float>")
+    asked = rows.where("id % 100 = 0")
+    distance = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    exact = {q: {i for i, _ in sorted(data, key=lambda r: distance(r[1], v))[:5]} for q, v in data if q % 100 == 0}
+    vector.PIECE, held = 100, vector.PIECE
+    got: dict = {}
+    for r in vector.CellIndex(rows, "v", "id", 20).search(asked, 5).collect():
+        got.setdefault(r["query"], set()).add(r["id"])
+    vector.PIECE = held
+    assert set(got) == set(exact) and all(len(x) == 5 for x in got.values())
+    assert sum(len(got[q] & exact[q]) for q in exact) >= 0.95 * 5 * len(exact)
+
+
+def test_left_multi_join_and_nulls_of_not_in(spark):
+    left = spark.createDataFrame([(1, [1, 2]), (1, [3]), (None, [1])], "id int, m array<int>")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, v string")
+    out = joins.left_multi_join(left, "id", "m", right, "k", "v", "out").collect()
+    assert sorted((r["id"] or -1, r["m"], r["out"]) for r in out) == [(-1, [1], ["a"]), (1, [1, 2], ["a", "b"]), (1, [3], ["c"])]
+    rows = spark.createDataFrame([(1,), (2,), (None,)], "a int")
+    values = lambda *x: spark.createDataFrame([(v,) for v in x], "b int")
+    ids = lambda df: sorted(r["a"] or -1 for r in df.collect())
+    assert ids(joins.not_in(rows, "a", values(1, 7), "b")) == [2] and ids(joins.not_in(rows, "a", values(1, None), "b")) == [] and ids(joins.not_in(rows, "a", values(), "b")) == [-1, 1, 2]
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark):
+    schema = "id int, seq int, cmd string, s string"
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string")
+    batches = [[(1, 1, "delete", None)], [(1, 2, "add", "new"), (2, 3, "update_field", "c")], [(2, 4, "update_field", "d"), (1, 5, "update_field", "newer")]]
+    root = scratch(spark, "versions-test")
+    table = ingest.VersionedTable(spark, root, base)
+    for number in (0, 0, 1, 1):
+        table.apply(spark.createDataFrame(batches[number], schema), number, "id", "seq")
+    # a driver that starts again finds the versions, and the stream gives it the last batch once more
+    table = ingest.VersionedTable(spark, root, base)
+    for number in (1, 2):
+        table.apply(spark.createDataFrame(batches[number], schema), number, "id", "seq")
+    assert sorted(tuple(r) for r in table.read().collect()) == [(1, "newer"), (2, "d")]
+    assert table.versions() == [0, 1, 2, 3]
+
+
+def test_waiting_until_a_stream_is_fresh(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS ts, 1 AS k").write.parquet(str(source))
+    stream = spark.readStream.schema("ts timestamp, k int").parquet(str(source))
+    plain = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c1")).option("path", str(out)).start()
+    try:
+        assert ingest.wait_until_fresh(plain) and spark.read.parquet(str(out)).count() == 1
+        with pytest.raises(RuntimeError):
+            ingest.wait_until_fresh(plain, "2024-01-01T00:00:00.000Z", 20)
+    finally:
+        plain.stop()
+    counts = ingest.windowed_counts(stream, "ts", "k", "1 hour", late="10 minutes")
+    marked = counts.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c2")).start()
+    try:
+        assert ingest.wait_until_fresh(marked, "2024-01-01T09:50:00.000Z", 40)
+        assert not ingest.wait_until_fresh(marked, "2024-01-02T00:00:00.000Z", 1)
+    finally:
+        marked.stop()
+
+
+def test_record_and_encrypted_files(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(files, "RANGE_BYTES", 700)
+    (tmp_path / "fixed").mkdir()
+    data = bytes(i * 7 % 251 for i in range(10_003))
+    (tmp_path / "fixed" / "a").write_bytes(data)
+    got = files.read_fixed_records(spark, str(tmp_path / "fixed"), 10).orderBy("at").collect()
+    assert [(r["at"], bytes(r["record"])) for r in got] == [(k, data[10 * k : 10 * k + 10]) for k in range(1000)]
+    (tmp_path / "var").mkdir()
+    records = [data[:k] for k in (0, 1, 300, 9_000, 5)]
+    for name in ("a", "b"):
+        (tmp_path / "var" / name).write_bytes(b"".join(len(r).to_bytes(4, "little") + r for r in records))
+    got = files.read_length_prefixed_records(spark, str(tmp_path / "var")).orderBy("path", "at").collect()
+    assert [bytes(r["record"]) for r in got] == records * 2
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a").write_bytes(b"\x09\x00\x00\x00abc")
+    with pytest.raises(Exception, match="ends inside a record"):
+        files.read_length_prefixed_records(spark, str(tmp_path / "bad")).collect()
+    key = "0123456789abcdef"
+    (tmp_path / "secret").mkdir()
+    for name, body in (("plain", b"text one"), ("packed", gzip.compress(b"text two"))):
+        secret = spark.createDataFrame([(bytearray(body),)], "b binary").select(F.aes_encrypt("b", F.lit(key).cast("binary")).alias("s")).first()["s"]
+        (tmp_path / "secret" / name).write_bytes(bytes(secret))
+    assert files.read_encrypted_files(spark, str(tmp_path / "secret" / "plain"), key).first()["text"] == "text one"
+    assert files.read_encrypted_files(spark, str(tmp_path / "secret" / "packed"), key, compressed=True).first()["text"] == "text two"
+    lines = spark.createDataFrame([(f"line {i}",) for i in range(50)], "l string")
+    for compress in (False, True):
+        path = scratch(spark, "secret-test")
+        files.write_encrypted(lines, path, "l", key, compress, lines=7)
+        assert sorted(r["line"] for r in files.read_encrypted(spark, path, key).collect()) == sorted(f"line {i}" for i in range(50))
+        with pytest.raises(Exception):
+            files.read_encrypted(spark, path, "fedcba9876543210").collect()
+
+
+def test_external_tables(spark):
+    url = "jdbc:derby:memory:outside;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(200).selectExpr("cast(id AS int) AS K", "concat('n', id) AS NAME").write.format("jdbc").option("url", url).option("dbtable", "things").options(**options).save()
+    source = external.External(url, "things", "K", 0, 200, 4, options)
+    rows = external.scan(spark, source)
+    assert rows.count() == 200 and rows.rdd.getNumPartitions() == 4
+    plan = rows.where("K = 7").select("NAME")._jdf.queryExecution().toString()
+    assert "PushedFilters: [*IsNotNull(K), *EqualTo(K,7)]" in plan and "ReadSchema: struct<NAME:string>" in plan
+    probe = spark.createDataFrame([(3, "x"), (5, "y"), (3, "z"), (999, "w"), (None, "v")], "K int, tag string")
+    for most in (1000, 2):
+        external.MOST_KEYS = most
+        assert sorted(tuple(r) for r in external.lookup_join(probe, source, "K").collect()) == [(3, "x", "n3"), (3, "z", "n3"), (5, "y", "n5")]
+    external.MOST_KEYS = 1000
+
+
+def test_table_functions_and_formats(spark, caplog):
+    import json
+    import logging
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, s string")
+    with caplog.at_level(logging.INFO):
+        assert table_functions.call("printTableTvf", rows, 1).collect() == rows.collect()
+    assert "id | s" in caplog.text and "1 | a" in caplog.text and "2 | None" not in caplog.text
+    assert table_functions.call("identityTvf", rows) is rows
+    counted = table_functions.call("tableMetricTvf", rows, "t")
+    counted.collect()
+    assert table_functions.METRICS["t"].get == {"rows": 2}
+    for name, arguments in (("unknown", ()), ("printTableTvf", (-1,))):
+        with pytest.raises(ValueError):
+            table_functions.call(name, rows, *arguments)
+    assert [json.loads(r["value"]) for r in catalog.formatted(rows, "json").collect()] == [{"id": 1, "s": "a"}, {"id": 2, "s": None}]
+    assert catalog.formatted(rows, "full_json") == {"columns": ["id", "s"], "types": ["int", "string"], "rows": [[1, "a"], [2, None]]}
+    assert catalog.formatted(rows, "table").to_pydict() == {"id": [1, 2], "s": ["a", None]}
+    with pytest.raises(ValueError):
+        catalog.formatted(rows, "xml")
+    with pytest.raises(ValueError):
+        ranking.ordered(rows, "-id")
+    assert [r["id"] for r in ranking.ordered(rows.alias("t"), "t:-id", 1).collect()] == [2]
+    assert rows.agg(registry.aggregate("spread", "id").alias("x")).first()["x"] == 1.0
+    index = tables.AggregationTable(rows, ["id"], {"n": F.count(F.lit(1))})
+    assert [tuple(r) for r in index.answer({"id": 2}, {"n": (1, 5)}).collect()] == [(2, 1)]
+    with pytest.raises(ValueError):
+        index.answer({"n": 1})
+
+
+def test_scratch_is_cleared(spark):
+    kept, gone = scratch(spark, "kept"), scratch(spark, "gone")
+    for path in (kept, gone):
+        spark.range(3).write.parquet(path)
+    clear_scratch(spark, keep=(kept,))
+    assert spark.read.parquet(kept).count() == 3
+    with pytest.raises(Exception):
+        spark.read.parquet(gone).count()
