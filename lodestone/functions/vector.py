@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -164,6 +165,32 @@ class CellIndex:
         return found.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 
 
+def hashed_words(texts: list[str], size: int = 64) -> np.ndarray:
+    """An embedding that needs no model: signed counts of hashed words, of unit length; zero without words."""
+    out = np.zeros((len(texts), size), np.float32)
+    for row, own in enumerate(texts):
+        for word in own.lower().split():
+            code = zlib.crc32(word.encode())
+            out[row, code % size] += 1 if code >> 31 else -1
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def embedded(rows: DataFrame, text: str, out: str = "embedding", model=hashed_words) -> DataFrame:
+    """``rows`` and the embedding of ``text``; ``model`` turns some texts into a matrix, a null text counts as empty."""
+    names, at = rows.columns, rows.columns.index(text)
+    schema = f"{', '.join(f'`{n}` {t}' for n, t in rows.dtypes)}, `{out}` array<float>"
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                found = model([x or "" for x in batch.column(at).to_pylist()])
+                column = pa.array(list(found.astype(np.float32)), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*names, out])
+
+    return rows.mapInArrow(embed, schema)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of two blocks by one matrix product."""
     return np.maximum((a * a).sum(axis=1)[:, None] - 2 * a @ b.T + (b * b).sum(axis=1), 0)

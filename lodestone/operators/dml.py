@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ADD, UPDATE, DELETE = "add", "update_field", "delete"
@@ -22,6 +25,43 @@ def deleted(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.where(~F.coalesce(condition, F.lit(False)))
 
 
+def keys_of(condition: str, key: str) -> list[str]:
+    """The values that the condition of an UPDATE or DELETE gives for its primary key, by ``=`` or ``IN``.
+
+    A change is routed by its key, so a condition without one is refused. Quotes are taken off; other conditions joined
+    by AND may stand beside it, but none by OR.
+    """
+    if re.search(r"\bor\b", re.sub(r"'(?:[^']|'')*'", "''", condition), re.IGNORECASE):
+        raise ValueError("a condition with OR doesn't give the keys")
+    value = r"('(?:[^']|'')*'|-?\d+)"
+    one = re.search(rf"(?<![\w.`]){re.escape(key)}\s*=\s*{value}", condition, re.IGNORECASE)
+    several = re.search(rf"(?<![\w.`]){re.escape(key)}\s+in\s*\(\s*({value}(?:\s*,\s*{value})*)\s*\)", condition, re.IGNORECASE)
+    if one is None and several is None:
+        raise ValueError(f"the condition doesn't give {key}")
+    found = [one[1]] if one else re.findall(value, several[1])
+    return [x[1:-1].replace("''", "'") if x.startswith("'") else x for x in found]
+
+
+def patched(rows: DataFrame, patches: DataFrame, key: str, order: str) -> DataFrame:
+    """``rows`` with the newest value that any of ``patches`` (key, order, some of the columns) holds for each attribute.
+
+    Patches of rows that aren't there are dropped; a null in a patch holds nothing.
+    """
+    fields = [c for c in patches.columns if c not in (key, order)]
+    newest = patches.groupBy(key).agg(*[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(order))).alias(f"__{f}") for f in fields])
+    merged = {f: F.coalesce(F.col(f"__{f}").cast(rows.schema[f].dataType), F.col(f)) for f in fields}
+    return rows.join(newest, key, "left").withColumns(merged).select(rows.columns)
+
+
+def compacted(spark: SparkSession, segments: list[str], path: str, key: str, order: str) -> DataFrame:
+    """Merge segments, folders of rows, into one at ``path``: the newest row of each key, sorted by key."""
+    rows = reduce(DataFrame.unionByName, [spark.read.parquet(s) for s in segments])
+    fields = [c for c in rows.columns if c != key]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*fields), order).alias("__row")).select(key, "__row.*").select(rows.columns)
+    newest.repartitionByRange(key).sortWithinPartitions(key).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def row_count(rows: DataFrame, condition: Column | None = None) -> DataFrame:
     """The ROWCOUNT row of a change."""
     rows = rows if condition is None else rows.where(condition)

@@ -75,6 +75,26 @@ def changed_fields(old: DataFrame, new: DataFrame, key: str, ignore: tuple[str,
     return new.join(before, key).select(key, names.alias("changed"))
 
 
+def decoded(data: Column, charset: str) -> Column:
+    """Text of bytes in a charset."""
+    return F.decode(data, charset)
+
+
+def encoded(text: Column, charset: str) -> Column:
+    return F.encode(text, charset)
+
+
+def from_base64(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """Binary fields that a feed carries as text."""
+    return rows.withColumns({f: F.unbase64(f) for f in fields})
+
+
+def line_fields(line: Column, names: list[str], sep: str) -> list[Column]:
+    """The fields of a line, by place; those that it lacks are null."""
+    parts = F.split(line, rf"\Q{sep}\E")
+    return [F.get(parts, i).alias(n) for i, n in enumerate(names)]
+
+
 def flip_halfwidth(text: Column) -> Column:
     """Full-width digits and letters to their plain forms, and lower case."""
     wide = "".join(chr(0xFEE0 + ord(c)) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")

@@ -64,6 +64,14 @@ def left_multi_join(left: DataFrame, key: str, array: str, right: DataFrame, rig
     return left.join(gathered, F.col(key).eqNullSafe(F.col("__key")) & F.col(array).eqNullSafe(F.col("__own")), "left").drop("__key", "__own")
 
 
+def theta_join(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner", most: int = 10_000) -> DataFrame:
+    """Join on any condition. Only a right side that is counted to have at most ``most`` rows is broadcast; a larger one
+    is refused, since every pair would have to be looked at: use an equality or ``range_join``."""
+    if right.limit(most + 1).count() > most:
+        raise ValueError(f"the right side has over {most} rows")
+    return left.join(F.broadcast(right), condition, how)
+
+
 def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
     """Rows whose value lies in [low, high), by an equality on buckets of ``width`` instead of a nested loop."""
     bucket = lambda c: F.floor(c / F.lit(width)).cast("long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("relational", "search", "joins", "ranking", "ingest", "surface")
+MODULES: tuple[str, ...] = ("relational", "search", "joins", "ranking", "ingest", "surface", "feeds")
 
 
 def _modules():

@@ -63,6 +63,23 @@ def publish(spark: SparkSession, specs: list[TableSpec]) -> list[str]:
     return made
 
 
+@dataclass(frozen=True)
+class MainAux:
+    """A declared pair: every row of the main table with the auxiliary table's fields, by the key that is in both."""
+
+    name: str
+    main: TableSpec
+    aux: TableSpec
+    main_key: str
+
+    def publish(self, spark: SparkSession) -> None:
+        main, aux = load(spark, self.main), load(spark, self.aux)
+        if self.aux.key is None or self.main_key not in main.columns or self.aux.key not in aux.columns:
+            raise ValueError(f"{self.name} needs its key in both tables")
+        aux = aux.withColumnRenamed(self.aux.key, "__key")
+        main.join(aux, F.col(self.main_key) == F.col("__key"), "left").drop("__key").createOrReplaceTempView(self.name)
+
+
 def limited(rows: DataFrame, n: int = 100) -> DataFrame:
     """The forced limit of a session that asks for one."""
     return rows.limit(n)

@@ -49,6 +49,22 @@ def write_documents(rows: DataFrame, path: str, command: str = "add", compressio
     lines.write.option("lineSep", f"{DOCUMENT_END}\n").option("compression", compression).text(path)
 
 
+def export_documents(rows: DataFrame, path: str, condition: Column | None = None, fields: list[str] | None = None) -> None:
+    """Write a table's rows as a feed: those that meet the condition, with the named fields."""
+    rows = rows if condition is None else rows.where(condition)
+    write_documents(rows.select(*fields) if fields else rows, path)
+
+
+def read_separated(spark: SparkSession, path: str, fields: dict[str, str], field_sep: str = "\t", line_sep: str = "\n", value_sep: str = VALUE_END) -> DataFrame:
+    """Lines of fields by place, with a feed's own separators; array types are split into values. Short lines give nulls."""
+    parts = F.split("value", rf"\Q{field_sep}\E")
+    columns = []
+    for i, (name, kind) in enumerate(fields.items()):
+        held = F.get(parts, i)
+        columns.append((F.split(held, rf"\Q{value_sep}\E").cast(kind) if kind.startswith("array") else held.try_cast(kind)).alias(name))
+    return spark.read.option("lineSep", line_sep).text(path).select(*columns)
+
+
 #: Bytes of a file that one row of a task list stands for.
 RANGE_BYTES = 32 << 20
 

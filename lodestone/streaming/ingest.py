@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -73,6 +75,13 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(self._path(self.versions()[-1]))
 
 
+def progress(query: StreamingQuery) -> dict:
+    """How far a stream has read: batches, rows, and where its sources stand, from what it last reported."""
+    reports = [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
+    last = reports[-1] if reports else {"batchId": -1, "sources": []}
+    return {"batch": last["batchId"], "rows": sum(p["numInputRows"] for p in reports), "offsets": [s["endOffset"] for s in last["sources"]]}
+
+
 def wait_until_fresh(query: StreamingQuery, target: str | None = None, seconds: float = 30.0) -> bool:
     """Wait until all data there now are processed, or until the event-time watermark reaches ``target``.
 

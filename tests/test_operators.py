@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import query, registry, relevance, scalar, text, vector
+from lodestone.functions import query, registry, relevance, scalar, series, text, vector
 from lodestone.operators import dml, documents, joins, ranking, table_functions, tables
 from lodestone.session import clear_scratch, scratch
 from lodestone.sources import catalog, external, files
@@ -316,3 +316,40 @@ def test_scratch_is_cleared(spark):
     assert spark.read.parquet(kept).count() == 3
     with pytest.raises(Exception):
         spark.read.parquet(gone).count()
+
+
+def test_keys_patches_and_segments(spark):
+    assert dml.keys_of("pk = 7 AND note = 'a or b'", "pk") == ["7"] and dml.keys_of("x > 1 and PK in (1, -2,3)", "pk") == ["1", "-2", "3"]
+    assert dml.keys_of("pk = 'o''clock'", "pk") == ["o'clock"] and dml.keys_of("a.pk2 = 3 AND pk IN ('x','y')", "pk") == ["x", "y"]
+    for bad in ("x = 1", "pk > 3", "pk = 1 OR x = 2", "other_pk = 3"):
+        with pytest.raises(ValueError):
+            dml.keys_of(bad, "pk")
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "id int, s string, p double")
+    patches = spark.createDataFrame([(1, 1, "x", None), (1, 2, None, 9.0), (1, 3, "y", None), (7, 1, "z", 1.0)], "id int, seq int, s string, p double")
+    assert sorted(tuple(r) for r in dml.patched(rows, patches, "id", "seq").collect()) == [(1, "y", 9.0), (2, "b", 2.0)]
+
+
+def test_series_and_joins_on_any_condition(spark):
+    rows = spark.sql("SELECT * FROM VALUES (timestamp'2024-01-01 00:00:00', 'a', 1.0), (timestamp'2024-01-01 00:00:30', 'a', 4.0), (timestamp'2024-01-01 00:02:30', 'a', 16.0), (timestamp'2024-01-01 00:00:10', 'b', 5.0) AS t(ts, k, v)")
+    mean = series.downsampled(rows, "ts", ["k"], "v", "1 minute")
+    assert sorted((r["k"], r["start"].minute, r["v"]) for r in mean.collect()) == [("a", 0, 2.5), ("a", 2, 16.0), ("b", 0, 5.0)]
+    assert sorted((r["k"], r["v"], r["rate"]) for r in series.rate(rows, "ts", ["k"], "v").where("rate is not null").collect()) == [("a", 4.0, 0.1), ("a", 16.0, 0.1)]
+    assert series.tagged(rows, {"k": "!a"}).count() == 1 and series.tagged(rows, {"k": "a|b"}).count() == 4
+    with pytest.raises(ValueError):
+        series.downsampled(rows, "ts", ["k"], "v", "1 minute", "median")
+    with pytest.raises(ValueError):
+        joins.theta_join(rows, spark.range(20).toDF("i"), F.col("v") > F.col("i"), most=10)
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    spark.range(7).write.parquet(str(tmp_path / "in"))
+    query_ = spark.readStream.schema("id long").parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query_.awaitTermination()
+    found = ingest.progress(query_)
+    assert found["rows"] == 7 and found["batch"] >= 0 and len(found["offsets"]) == 1
+
+
+def test_embeddings(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, None), (3, "b a a")], "id int, t string")
+    found = {r["id"]: r["e"] for r in vector.embedded(rows, "t", "e").collect()}
+    assert found[1] == pytest.approx(found[3]) and sum(found[2]) == 0 and sum(x * x for x in found[1]) == pytest.approx(1)
