@@ -330,7 +330,7 @@ def test_keys_patches_and_segments(spark):
 
 
 def test_series_and_joins_on_any_condition(spark):
-    rows = spark.sql("SELECT * FROM VALUES (timestamp'2024-01-01 00:00:00', 'a', 1.0), (timestamp'2024-01-01 00:00:30', 'a', 4.0), (timestamp'2024-01-01 00:02:30', 'a', 16.0), (timestamp'2024-01-01 00:00:10', 'b', 5.0) AS t(ts, k, v)")
+    rows = spark.sql("SELECT * FROM VALUES (timestamp'2024-01-01 00:00:00', 'a', 1D), (timestamp'2024-01-01 00:00:30', 'a', 4D), (timestamp'2024-01-01 00:02:30', 'a', 16D), (timestamp'2024-01-01 00:00:10', 'b', 5D) AS t(ts, k, v)")
     mean = series.downsampled(rows, "ts", ["k"], "v", "1 minute")
     assert sorted((r["k"], r["start"].minute, r["v"]) for r in mean.collect()) == [("a", 0, 2.5), ("a", 2, 16.0), ("b", 0, 5.0)]
     assert sorted((r["k"], r["v"], r["rate"]) for r in series.rate(rows, "ts", ["k"], "v").where("rate is not null").collect()) == [("a", 4.0, 0.1), ("a", 16.0, 0.1)]
