@@ -111,10 +111,10 @@ class LogBilinear:
         moved = [self.contexts @ self.matrices[j] for j in range(CONTEXT)]
         place_of = self.places()
         out = np.empty(len(after), np.float64)
-        for start in range(0, len(after), 1 << 16):
-            place = place_of[after[start : start + (1 << 16)]]
+        for start in range(0, len(after), 1 << 15):
+            place = place_of[after[start : start + (1 << 15)]]
             order = np.argsort(place.astype(np.uint16), kind="stable")
-            place, held = place[order], before[start : start + (1 << 16)][order]
+            place, held = place[order], before[start : start + (1 << 15)][order]
             h = moved[0][held[:, 0]]
             for j in range(1, CONTEXT):
                 h += moved[j][held[:, j]]
@@ -486,15 +486,15 @@ def scores(docs: DataFrame) -> DataFrame:
     names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            units = batch.column(7)
-            each = sent.value.log10_probabilities(*_contexts(units))
-            starts = np.concatenate([[0], np.cumsum(units.value_lengths().to_numpy())[:-1]])
-            neural = np.add.reduceat(each, starts)  # a text has its end at least
-            total = pa.array(neural + batch.column(6).to_numpy())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), total], names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                units = batch.column(7)
+                each = sent.value.log10_probabilities(*_contexts(units))
+                starts = np.concatenate([[0], np.cumsum(units.value_lengths().to_numpy())[:-1]])
+                neural = np.add.reduceat(each, starts)  # a text has its end at least
+                total = pa.array(neural + batch.column(6).to_numpy())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), total], names=names)
 
     passed = first.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "units")
     neural = passed.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

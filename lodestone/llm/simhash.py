@@ -24,8 +24,8 @@ from . import common, components
 WORDS = 3
 RADIUS = 3
 SEED = 42
-#: Widths of the blocks of bits; two of the five agree for any linked pair.
-WIDTHS = (13, 13, 13, 13, 12)
+#: Widths of the blocks of bits; three of the six agree for any linked pair, so a shard is one value of 31 to 33 bits.
+WIDTHS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints of one shard that one task takes; a larger shard is dealt out as pairs of chunks.
 CHUNK = 4096
 #: Shards with at least this many fingerprints are searched with arrays instead of one by one.
@@ -242,8 +242,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components.connected_components(links(distinct.where("rep is not null").select("fp", "rep")))
     # a fingerprint of one document without links stands for itself, and needs no join
     groups = distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").where("n > 1 or component is not null")
-    groups = common.materialise(groups.select("fp", F.coalesce("component", "rep").alias("component")), "groups")
-    return prints.join(groups, "fp", "left").select(
+    groups = common.materialise(groups.select("fp", F.coalesce("component", "rep").alias("component"), "n"), "groups")
+    return common.salted_join(prints, groups, "fp", "doc_id").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
