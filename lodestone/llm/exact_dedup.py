@@ -22,8 +22,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 PART = 256
 #: Batches that a call flushes; rows are dealt to them by identifier.
 RUNS = 4
-#: Bits of a filter for each digest, and the bits of one bitmap row.
-FILTER_BITS, BITMAP = 16, 32768
+#: Bits of a filter for each digest, the bits of one bitmap row, and the rows of a filter that is broadcast at most (64 MB).
+FILTER_BITS, BITMAP, BROADCAST_ROWS = 16, 32768, 16384
 
 
 def normalised(text: Column) -> Column:
@@ -34,6 +34,20 @@ def _smallest(rows: DataFrame, least: Column, size: Column) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(least).alias("keep_id"), F.sum(size).cast("long").alias("group_size"))
 
 
+def _filter(digests: DataFrame, rows: int) -> DataFrame:
+    """(bucket, bits): a bitmap of ``rows`` rows over the hashes of ``digests`` (digest)."""
+    place = F.pmod(F.xxhash64("digest"), F.lit(rows * BITMAP))
+    return digests.select(F.floor(place / BITMAP).alias("bucket"), (place % BITMAP).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def _maybe_in(df: DataFrame, bits: DataFrame, rows: int, out: str) -> DataFrame:
+    """Add the flag ``out``: false if the filter ``bits`` of ``rows`` rows rules the row's digest out."""
+    place = F.pmod(F.xxhash64("digest"), F.lit(rows * BITMAP))
+    byte = F.conv(F.hex(F.substring("bits", (place % BITMAP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = df.withColumn("bucket", F.floor(place / BITMAP)).join(bits, "bucket", "left")
+    return met.withColumn(out, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("bucket", "bits")
+
+
 class MergeIndex:
     """Digest index at ``path``; ``flush`` adds runs, ``compact`` merges them, ``entries`` reads the newest level."""
 
@@ -47,19 +61,13 @@ class MergeIndex:
         """Write the run of a batch (doc_id, digest) with its filter."""
         run = self._written(_smallest(batch, F.col("doc_id"), F.lit(1)), f"run-{len(self.runs)}")
         rows = -(-max(1, run.count()) * FILTER_BITS // BITMAP)
-        place = F.pmod(F.xxhash64("digest"), F.lit(rows * BITMAP))
-        bits = run.select(F.floor(place / BITMAP).alias("bucket"), (place % BITMAP).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
         self.runs.append(run)
-        self.filters.append((self._saved(bits, f"filter-{len(self.filters)}"), rows))
+        self.filters.append((self._saved(_filter(run, rows), f"filter-{len(self.filters)}"), rows))
         self.level = None
 
     def maybe_in(self, rows: DataFrame, number: int, out: str) -> DataFrame:
         """Add the flag ``out``: false if the filter of run ``number`` rules the row's digest out."""
-        bits, size = self.filters[number]
-        place = F.pmod(F.xxhash64("digest"), F.lit(size * BITMAP))
-        byte = F.conv(F.hex(F.substring("bits", (place % BITMAP / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        met = rows.withColumn("bucket", F.floor(place / BITMAP)).join(bits, "bucket", "left")
-        return met.withColumn(out, F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("bucket", "bits")
+        return _maybe_in(rows, *self.filters[number], out)
 
     def compact(self) -> DataFrame:
         """Merge every run: (digest, keep_id, group_size), sorted by digest within each file."""
@@ -126,11 +134,16 @@ def _digest() -> Column:
 def _unverified(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """(digest) of the groups in ``copies`` (digest, keep_id, group_size) with a text unlike that of the row that stays.
 
-    Every hit is compared with the text of its group by the bytes. A member meets that text in the part that its doc_id
-    selects, and the number of parts follows the size of the group, so a group of any size is verified by many tasks.
+    Every hit is compared with the text of its group by the bytes. Texts that a filter over the groups' digests rules out
+    aren't shuffled; its size is bounded, and where that makes it coarse, more are. A member meets its group's text in the
+    part that its doc_id selects, and the number of parts follows the size of the group, so a group of any size is
+    verified by many tasks.
     """
     parts = F.ceil(F.col("group_size") / PART).cast("int")
-    texts = docs.select("doc_id", _digest().alias("digest"), normalised(F.col("text")).alias("norm"))
+    rows = min(BROADCAST_ROWS, -(-max(1, copies.count()) * FILTER_BITS // BITMAP))
+    bits = common.materialise(_filter(copies, rows), "copies-filter")
+    texts = _maybe_in(docs.select("doc_id", "text", _digest().alias("digest")), F.broadcast(bits), rows, "maybe").where("maybe")
+    texts = texts.select("doc_id", "digest", normalised(F.col("text")).alias("norm"))
     sized = copies.select("digest", "keep_id", parts.alias("parts"), F.col("group_size").alias("n"))
     members = common.materialise(common.salted_join(texts, sized, "digest", "doc_id", "inner"), "hits")
     # rows that repeat the doc_id that stays are members like any other
