@@ -79,9 +79,8 @@ def _ranges(spark: SparkSession, path: str, step: int | None) -> DataFrame:
     return ranges.select("path", "at", F.least(F.col("at") + step, "length").alias("to"), "length").repartition("path", "at")
 
 
-def _open(path: str):
-    store, name = fs.FileSystem.from_uri("file:///" + path[5:].lstrip("/") if path.startswith("file:") else path)
-    return store.open_input_stream(name), store.open_input_file(name)
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri("file:///" + path[5:].lstrip("/") if path.startswith("file:") else path)
 
 
 def read_fixed_records(spark: SparkSession, path: str, width: int) -> DataFrame:
@@ -94,8 +93,8 @@ def read_fixed_records(spark: SparkSession, path: str, width: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for task in batch.to_pylist():
-                _, file = _open(task["path"])
-                with file:
+                store, name = _store(task["path"])
+                with store.open_input_file(name) as file:
                     for start in range(task["at"], task["to"], max(1, (1 << 20) // width) * width):
                         data = file.read_at(min(max(1, (1 << 20) // width) * width, task["to"] - start), start)
                         records = [data[i : i + width] for i in range(0, len(data) - width + 1, width)]
@@ -115,8 +114,8 @@ def read_length_prefixed_records(spark: SparkSession, path: str, prefix: int = 4
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for task in batch.to_pylist():
-                file, _ = _open(task["path"])
-                with file:
+                store, name = _store(task["path"])
+                with store.open_input_stream(name) as file:
                     number, held, size = 0, [], 0
                     while head := file.read(prefix):
                         length = int.from_bytes(head, "little")
