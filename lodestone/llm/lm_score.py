@@ -42,10 +42,12 @@ FREQUENT = 131_072
 #: Distinct tokens that a task counts before it hands them on.
 HELD = 300_000
 SMOOTH = 0.1
-#: Model and training: tokens of context, vector length, tokens of a gradient step, noise units, learning rate.
+#: Model and training: tokens of context, vector length, most tokens of a gradient step, noise units, learning rate.
 CONTEXT, DIMENSION, BATCH, NOISE, RATE = 3, 24, 32768, 16, 0.15
 #: Rounds of training, each over its own part of the documents; fewer tokens than LEAST_TOKENS are seen several times.
-ROUNDS, LEAST_TOKENS, MOST_PASSES, SMALL_BATCH = 4, 2_000_000, 12, 4096
+ROUNDS, LEAST_TOKENS, MOST_PASSES = 4, 2_000_000, 12
+#: Steps are of SMALL_BATCH to BATCH tokens, so that a task makes some STEPS of them in a round.
+SMALL_BATCH, STEPS = 4096, 200
 #: Rows of parameters that are averaged together.
 BLOCK = 256
 END = b""
@@ -414,16 +416,17 @@ def trained(first: DataFrame, unigram: np.ndarray) -> LogBilinear:
     texts = first.where("not held_out")
     if total < LEAST_TOKENS:  # so little is one task's work, which goes over it several times
         passes = int(min(MOST_PASSES, 1 + np.ceil(LEAST_TOKENS / total)))
-        return _averaged(texts.select("units"), spark.sparkContext.broadcast((model, None, unigram)), 1, 0, passes)[0]
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, int(total // (ROUNDS * 4 * BATCH))))
+        return _averaged(texts.select("units"), spark.sparkContext.broadcast((model, None, unigram)), 1, 0, SMALL_BATCH, passes)[0]
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, int(total // (ROUNDS * LEAST_TOKENS))))
+    step = int(min(BATCH, max(SMALL_BATCH, total / (ROUNDS * tasks) // STEPS)))
     squares = None
     for number in range(ROUNDS):
         own = texts.where(F.col("turn") == number).select("units")
-        model, squares = _averaged(own, spark.sparkContext.broadcast((model, squares, unigram)), tasks, number)
+        model, squares = _averaged(own, spark.sparkContext.broadcast((model, squares, unigram)), tasks, number, step)
     return model
 
 
-def _averaged(texts: DataFrame, sent, tasks: int, number: int, passes: int = 1) -> tuple[LogBilinear, list[np.ndarray]]:
+def _averaged(texts: DataFrame, sent, tasks: int, number: int, step: int, passes: int = 1) -> tuple[LogBilinear, list[np.ndarray]]:
     """One round: every task trains on its texts from the sent model on, and the parameters are averaged block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +434,6 @@ def _averaged(texts: DataFrame, sent, tasks: int, number: int, passes: int = 1)
         model = LogBilinear(model.order, *(x.copy() for x in model.parts()))
         trainer = Trainer(model, unigram, squares and [x.copy() for x in squares], seed=number * 1000 + TaskContext.get().partitionId())
         rest: tuple = ()
-        step = BATCH if passes == 1 else SMALL_BATCH
         if passes > 1:  # under LEAST_TOKENS tokens in all
             batches = list(batches) * passes
         for batch in batches:
