@@ -89,7 +89,7 @@ def _sampled(docs: DataFrame, each: int) -> DataFrame:
     labelled = docs.where(~held_out(F.col("doc_id"))).where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang")
     # first within parts of a language, so that no task gets all rows of a frequent one
     for keys in ("lang, part", "lang"):
-        ranked = labelled if keys == "lang" else labelled.withColumn("part", common.salt_of("doc_id", 64))
+        ranked = labelled if keys == "lang" else labelled.withColumn("part", common.salt_of("doc_id", 16))
         labelled = ranked.withColumn("at", F.expr(f"row_number() over (partition by {keys} order by xxhash64(doc_id), doc_id)")).where(F.col("at") <= each).drop("at")
     return labelled.select("doc_id", "lang")
 
