@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of each side that a tile of a range join has, and the tasks that its tiles are dealt to, at most.
+LEFT, RIGHT, TASKS = 4000, 4000, 20_000
 
 def equi_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "inner", residual: Column | None = None) -> DataFrame:
     """Equality on pairs of columns with an optional residual condition. Full joins aren't part of the dialect."""
@@ -73,8 +77,31 @@ def theta_join(left: DataFrame, right: DataFrame, condition: Column, how: str =
 
 
 def range_join(left: DataFrame, right: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
-    """Rows whose value lies in [low, high), by an equality on buckets of ``width`` instead of a nested loop."""
+    """Rows whose value lies in [low, high), by an equality on buckets of ``width`` instead of a nested loop.
+
+    Crowded buckets are dealt into tiles of about LEFT and RIGHT rows: a row has one part of its own side, by its hash, and
+    is copied to each part of the other. So for larger tables, or a frequent value, there are more tasks, not longer ones.
+    """
     bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
     spread = right.withColumn("__bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
-    met = left.withColumn("__bucket", bucket(F.col(value))).join(spread, "__bucket")
-    return met.where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("__bucket")
+    rows = left.withColumn("__bucket", bucket(F.col(value)))
+    n, m = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")), spread.groupBy("__bucket").agg(F.count(F.lit(1)).alias("m"))
+    parts = [F.ceil(F.col(c) / F.lit(most)).cast("int").alias(c) for c, most in (("n", LEFT), ("m", RIGHT))]
+    sizes = n.join(m, "__bucket")
+    # at most one bucket for every LEFT or RIGHT rows
+    crowded = sizes.where((F.col("n") > LEFT) | (F.col("m") > RIGHT)).select(F.col("__bucket"), F.struct(*parts).alias("__parts"))
+    pairs = sizes.where((F.col("n") > LEFT) | (F.col("m") > RIGHT)).agg(F.sum(F.col("n").cast("double") * F.col("m"))).first()[0]
+    keys = ["__bucket"]
+    if pairs:
+        keys += ["__n", "__m"]
+        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(math.ceil(pairs / (LEFT * RIGHT)), TASKS))
+
+        def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+            count = lambda c: F.coalesce(F.col("__parts")[c], F.lit(1))
+            hashed = F.xxhash64(*[c for c in side.columns if c != "__bucket"])
+            side = side.join(F.broadcast(crowded), "__bucket", "left").withColumn(f"__{own}", F.pmod(hashed, count(own)).cast("int"))
+            return side.withColumn(f"__{other}", F.explode(F.sequence(F.lit(0), count(other) - 1))).drop("__parts").repartition(tasks, *keys)
+
+        rows, spread = dealt(rows, "n", "m"), dealt(spread, "m", "n").hint("shuffle_hash")
+    met = rows.join(spread, keys)
+    return met.where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop(*keys)

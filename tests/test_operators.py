@@ -386,3 +386,16 @@ def test_distances_are_held_for_some_rows_at_a_time(monkeypatch):
     number, place, score = vector._nearest_of(rows[:600], rows, 1)
     assert max(sizes) <= vector.ASKED * vector.HELD
     assert number.tolist() == place.tolist() == list(range(600)) and not score.any()
+
+
+def test_range_join_of_a_frequent_value_is_dealt_out(spark, monkeypatch):
+    for name in ("LEFT", "RIGHT"):
+        monkeypatch.setattr(joins, name, 50, raising=False)
+    left = spark.createDataFrame([(i, 10.0 if i < 900 else float(i % 37) if i % 50 else None) for i in range(1000)], "a int, x double").coalesce(1)
+    right = spark.createDataFrame([(i, i % 9 + 3.0, i % 9 + 10.5) for i in range(200)] + [(900, None, 3.0), (901, 12.0, 3.0)], "b int, low double, high double")
+    met = joins.range_join(left, right, "x", "low", "high", 5.0)
+    assert met.columns == ["a", "x", "b", "low", "high"]
+    want = left.join(right, (left.x >= right.low) & (left.x < right.high))
+    assert met.exceptAll(want).isEmpty() and want.exceptAll(met).isEmpty()
+    sizes = [r["n"] for r in met.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 20 and max(sizes) < sum(sizes) / 5
