@@ -16,6 +16,8 @@ compares every pair of lines of near or equal fingerprints that is still in diff
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,7 +31,8 @@ SIMILARITY = 0.8
 WIDTHS = (12, 12, 12, 12, 12)
 NEIGHBOURS = 8
 #: The fingerprint has LANES * EACH bits; each counter of words takes LANES bits of a long, so up to CHUNK words fit.
-LANES, EACH, CHUNK = 10, 6, 256
+#: PIECE words are counted at once where the text is read: twice what a counter of half the bits holds.
+LANES, EACH, CHUNK, PIECE = 10, 6, 256, 62
 #: A side of a join that is measured to be at most this large is broadcast.
 BROADCAST_BYTES = 48 << 20
 _MASK = sum(1 << LANES * i for i in range(EACH))
@@ -37,8 +40,8 @@ _ID = "decimal(38,0)"
 
 
 def words_of(line: Column) -> Column:
-    """Lower-case words of letters and digits."""
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+    """Lower-case words of letters and digits. Matching words is faster than splitting, which compiles its pattern for each line."""
+    return F.regexp_extract_all(F.lower(line), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def normalised(line: Column) -> Column:
@@ -49,9 +52,21 @@ def _digest(norm: Column) -> Column:
     return F.xxhash64(norm)
 
 
-def _bit_sums(hashed: str) -> list[Column]:
-    """Sums that count, in lanes of LANES bits, the words whose hash has each bit."""
-    return [F.sum(F.shiftrightunsigned(hashed, j).bitwiseAND(F.lit(_MASK))).alias(f"s{j}") for j in range(LANES)]
+def _bit_sums(hashes: str, at: Column) -> list[Column]:
+    """Sums that count, in lanes of LANES bits, those of the PIECE hashes from ``at`` on that have each bit.
+
+    A few words are counted in lanes of half the width first, so that one addition counts twice as many bits.
+    """
+    narrow = LANES // 2
+    few, each = (1 << narrow) - 1, sum(1 << narrow * i for i in range(2 * EACH))
+    sums = [F.lit(0).cast("long")] * LANES
+    for start in range(0, PIECE, few):
+        words = [F.coalesce(F.get(hashes, at + k), F.lit(0).cast("long")) for k in range(start, min(start + few, PIECE))]
+        for j in range(narrow):
+            lanes = reduce(operator.add, [F.shiftrightunsigned(word, j).bitwiseAND(F.lit(each)) for word in words])
+            sums[j] = sums[j] + lanes.bitwiseAND(F.lit(_MASK * few))
+            sums[j + narrow] = sums[j + narrow] + F.shiftrightunsigned(lanes, narrow).bitwiseAND(F.lit(_MASK * few))
+    return [s.alias(f"s{j}") for j, s in enumerate(sums)]
 
 
 def _fingerprint(n: Column) -> Column:
@@ -92,24 +107,27 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     """(doc_id, t, line_no, d1, d2, length, fp) of every line of at least MIN_WORDS words, for each row of ``docs``.
 
     ``t`` is a hash of the text that the line is in, ``d1`` and ``d2`` stand for the line itself. Each distinct word of
-    a line counts once: else the frequent words of a language, which all long lines share, would outvote the others.
-    Words are counted by bit where the text is read, so no text is shuffled; a long line is counted in chunks first.
-    The outer forms of explode and the filter after the aggregate keep each line from being split several times: a
+    a line, told by its hash, counts once: else the frequent words of a language, which all long lines share, would
+    outvote the others. Words are counted by bit where the text is read, so no text is shuffled: a line of up to PIECE
+    words has its fingerprint there, and only the counts of longer ones are added up in a shuffle.
+    The outer forms of explode and the filter after the last one keep each line from being split several times: a
     filter on an array's size would be computed from the text anew.
     """
     norm = F.array_join("words", " ")
-    lines = _lines(docs).select("doc_id", "t", "row", "line_no", F.size("words").alias("n_words"), _digest(norm).alias("d1"), F.xxhash64(F.lit(1), norm).alias("d2"), F.length(norm).alias("length"), F.array_distinct("words").alias("words"))
-    keys = ["row", "doc_id", "t", "line_no", "d1", "d2", "length", "n_words", "n"]
-    each = lines.withColumn("n", F.size("words")).select(*keys, F.posexplode_outer("words").alias("at", "word"))
-    each = each.select(*keys, F.floor(F.col("at") / CHUNK).alias("chunk"), F.xxhash64("word").alias("hashed"))
-    summed = each.groupBy(*keys, "chunk").agg(*_bit_sums("hashed")).where(F.col("n_words") >= MIN_WORDS)
     out = ["doc_id", "t", "line_no", "d1", "d2", "length"]
-    # written, since both kinds of lines are read from it
-    summed = common.materialise(summed.select(*out, "row", "n", F.when(F.col("n") <= CHUNK, _fingerprint(F.col("n"))).alias("fp"), *[F.when(F.col("n") > CHUNK, F.col(f"s{j}")).alias(f"s{j}") for j in range(LANES)]), "lines")
+    hashes = F.array_distinct(F.transform("words", lambda word: F.xxhash64(word)))
+    lines = _lines(docs).select("doc_id", "t", "row", "line_no", F.size("words").alias("n_words"), _digest(norm).alias("d1"), F.xxhash64(F.lit(1), norm).alias("d2"), F.length(norm).alias("length"), hashes.alias("hashes"))
+    pieces = F.when(F.col("n_words") >= MIN_WORDS, F.sequence(F.lit(0), F.size("hashes") - 1, F.lit(PIECE)))
+    each = lines.select(*out, "row", "hashes", F.size("hashes").alias("n"), F.explode_outer(pieces).alias("at")).where("at is not null")
+    summed = each.select(*out, "row", "n", *_bit_sums("hashes", F.col("at")))
+    # written, since lines of each length are read from it
+    kept = [F.when(F.col("n") > PIECE, F.col(f"s{j}")).alias(f"s{j}") for j in range(LANES)]
+    summed = common.materialise(summed.select(*out, "row", "n", F.when(F.col("n") <= PIECE, _fingerprint(F.col("n"))).alias("fp"), *kept), "lines")
     several = summed.where("fp is null")
+    added = several.where(F.col("n") <= CHUNK).groupBy(*out, "row", "n").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(LANES)]).select(*out, _fingerprint(F.col("n")).alias("fp"))
     bits = [F.sum(F.shiftrightunsigned(f"s{bit % LANES}", bit // LANES * LANES).bitwiseAND(F.lit((1 << LANES) - 1).cast("long"))).alias(f"b{bit}") for bit in range(LANES * EACH)]
-    long = several.groupBy(*out, "row", "n").agg(*bits).select(*out, _long_fingerprint(F.col("n")).alias("fp"))
-    return summed.where("fp is not null").select(*out, "fp").unionByName(long)
+    long = several.where(F.col("n") > CHUNK).groupBy(*out, "row", "n").agg(*bits).select(*out, _long_fingerprint(F.col("n")).alias("fp"))
+    return summed.where("fp is not null").select(*out, "fp").unionByName(common.materialise(added.unionByName(long), "longer-lines"))
 
 
 def _distance(a: str, b: str) -> Column:
@@ -131,7 +149,7 @@ def _neighbours(prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     order = Window.partitionBy("key").orderBy("fp")
     # most blocks hold one fingerprint; only the others are looked at more closely
     shared = keyed.select("key", "fp", F.lag("fp").over(order).alias("last"), F.lead("fp").over(order).alias("next"))
-    shared = common.materialise(shared.where("last is not null or next is not null").select("key", "fp"), "line-blocks")
+    shared = shared.where("last is not null or next is not null").select("key", "fp")
     before = [F.lag("fp", i).over(order) for i in range(1, NEIGHBOURS + 1)]
     first = F.first("fp").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     met = shared.select("key", "fp", F.row_number().over(order).alias("at"), first.alias("first"), F.array_compact(F.array(*before)).alias("others")).where("at > 1")
@@ -179,7 +197,8 @@ def _judged(pairs: DataFrame) -> DataFrame:
     """Add ``near``: whether the edit distance of x and y is at most ``most``.
 
     Edits word by word bound the distance from above, which settles most pairs; for others what the lines have in
-    common at both ends is cut off, which leaves the distance as it is, before it is bounded again or computed.
+    common at both ends is cut off, which leaves the distance as it is, before it is bounded again, also by edits that
+    shift words, or computed.
     """
     x, y = F.split("x", " "), F.split("y", " ")
     differ = F.zip_with(x, y, lambda a, b: F.when(a == b, 0).otherwise(F.greatest(F.length(a), F.length(b))))
@@ -192,7 +211,19 @@ def _judged(pairs: DataFrame) -> DataFrame:
     pairs = pairs.withColumns({c: F.substring(c, F.col("tail") + 1, F.length(c)) for c in ("x", "y")})
     # what is left of the longer line bounds the distance as well
     rest = F.greatest(F.length("x"), F.length("y")) <= F.col("most")
-    return pairs.withColumn("near", F.coalesce("settled", F.when(rest, True), F.expr("levenshtein(x, y, most) >= 0")))
+    pairs = pairs.withColumn("all", F.when(F.col("settled").isNull() & ~rest, F.array_distinct(F.concat(F.split("x", " "), F.split("y", " ")))))
+    return pairs.withColumn("near", F.coalesce("settled", F.when(rest, True), F.when(_few_words(), True), F.expr("levenshtein(x, y, most) >= 0")))
+
+
+def _few_words() -> Column:
+    """Whether edits of whole words of x and y, which are in ``all``, already bound their distance by ``most``.
+
+    Each word becomes a character of its own, so that the words of long lines are compared in a small part of the time.
+    An edit of a word changes at most the longest word and a space. With over 255 words it isn't known.
+    """
+    x, y = (F.array_join(F.transform(F.split(c, " "), lambda word: F.char(F.array_position("all", word))), "") for c in ("x", "y"))
+    longest = F.array_max(F.transform("all", lambda word: F.length(word))) + 1
+    return F.when(F.size("all") < 256, F.levenshtein(x, y) * longest <= F.col("most"))
 
 
 def _common_head(x: Column, y: Column) -> Column:

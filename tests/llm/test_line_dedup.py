@@ -103,3 +103,27 @@ def test_ids_that_repeat_with_other_texts(spark):
     rows = [(1, "a line of five words\nanother line that stays here"), (2, "x\na line of five words"), (2, "a line of five words\ny"), (2, "x\na line of five words"), (2, "some other words in here")]
     out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["text"], r["dropped"]) for r in out) == sorted([(1, rows[0][1], []), (2, "x", [1]), (2, "y", [0]), (2, "x", [1]), (2, rows[4][1], [])])
+
+
+def test_words_are_counted_where_the_text_is_read(spark, monkeypatch):
+    written, write = {}, line_dedup.common.materialise
+    monkeypatch.setattr(line_dedup.common, "materialise", lambda df, name: written.setdefault(name, df) and write(df, name))
+    words = [f"w{k}" for k in range(300)]
+    hashes = {r[0]: r[1] for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w)").collect()}
+    rows = [(n, " ".join(words[:n] + words[:3])) for n in (5, 30, 31, 32, 61, 62, 63, 124, 125, 256, 257)]
+    got = {r["doc_id"]: r["fp"] for r in line_dedup.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: sum(1 << b for b in range(60) if 2 * sum(hashes[w] >> b & 1 for w in words[:n]) > n) for n, _ in rows}
+    plan = written["lines"]._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan and "split(lower" not in plan
+    assert written["lines"].count() == sum(-(-n // 62) for n, _ in rows)  # a row for 62 words, not one for each
+
+
+def test_edits_of_words_bound_the_distance(spark):
+    base = [f"word{k % 23}x{k}" for k in range(40)]
+    shifted = [base[:k] + ["more"] * (1 + k % 3) + base[k : k + 9] + base[k + 10 + k % 5 :] for k in range(0, 36, 4)]
+    others = [base[::-1], [f"b{k}" for k in range(40)], base[:1] + ["e"] + base[1:], ["ä" * 9, *base, "z"], [f"many{k}" for k in range(300)]]
+    pairs = [(" ".join(base), " ".join(o), m) for o in shifted + others for m in (5, 20, 40, 60, 90)]
+    frame = spark.createDataFrame(pairs, "x string, y string, most int").selectExpr("x as p", "y as q", "*", "abs(length(x) - length(y)) as apart")
+    got = line_dedup._judged(frame).select("p", "q", "most", "near", line_dedup._few_words().alias("few")).collect()
+    assert len(got) == len(pairs) and all(r["near"] == (_edit(r["p"], r["q"]) <= r["most"]) for r in got)
+    assert any(r["few"] for r in got) and all(r["near"] for r in got if r["few"])
